@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op10_quality": quality.op10_quality,
+}
+ORACLES = {
+    "op10_quality": quality.OP10_SQL,
+}

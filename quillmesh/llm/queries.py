@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import packing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_packing": packing.op4_packing,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash
+from . import decontamination, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_packing": packing.op4_packing,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op8_decontamination": decontamination.OP8_SQL,
     "op10_quality": quality.OP10_SQL,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,28 @@ def components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     return labels
+
+
+class Filter:
+    """A Bloom filter with two slots a key, of a fixed number of bits; the keys are numpy uint64 hashes."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for slot in (keys & np.uint64(self.bits - 1), (keys >> np.uint64(32)) & np.uint64(self.bits - 1)):
+            out &= (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def bloom(keys: DataFrame, bits: int) -> Filter:
+    """The filter of a column key (long) of hashes. bits / 64 rows at most come to the driver, whatever keys holds."""
+    key = F.col("key")
+    mask = F.lit(bits - 1)
+    slots = F.array(key.bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask))
+    rows = keys.select(F.explode(slots).alias("slot")).groupBy(F.shiftrightunsigned("slot", 6).alias("word"))
+    rows = rows.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("value")).toArrow()
+    words = np.zeros(max(1, bits // 64), np.uint64)
+    words[rows["word"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
+    return Filter(bits, words)

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, small_batches, table, written
+from .common import Filter, bloom, checkpoint, small_batches, table, written
 
 #: Words in a window, in a fingerprint, and fingerprints in a winnowing window: any shared WINDOW words have one in common.
 WINDOW, GRAM = 10, 5
@@ -46,11 +47,7 @@ def winnow(g: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(views)) + SPAN - 1 - views.argmin(axis=1))
 
 
-def slots(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (g & np.uint64(FILTER_BITS - 1)).astype(np.int64), (g >> np.uint64(42)).astype(np.int64)
-
-
-def marks(w: list[bytes], short: list[int], seen: np.ndarray | None, whole: bool) -> list[dict]:
+def marks(w: list[bytes], short: list[int], seen: Filter | None, whole: bool) -> list[dict]:
     """The fingerprints of a text with the words around them; of a document those alone that the filter lets pass.
 
     Items of fewer words than a window (whole) have one fingerprint, of all their words, and their number as size;
@@ -66,8 +63,7 @@ def marks(w: list[bytes], short: list[int], seen: np.ndarray | None, whole: bool
     for size, n, at, wide in found:
         g = grams(h, n)
         if seen is not None:
-            a, b = slots(g[at])
-            at = at[seen[a] & seen[b]]
+            at = at[seen(g[at])]
         for p, value in zip(at.tolist(), g[at].view(np.int64).tolist(), strict=True):
             around = w[max(0, p - wide) : p], w[p : p + n], w[p + n : p + n + wide]
             before, core, after = (b" ".join(x).decode() for x in around)
@@ -75,7 +71,7 @@ def marks(w: list[bytes], short: list[int], seen: np.ndarray | None, whole: bool
     return out
 
 
-def marked(df: DataFrame, key: str, short: list[int], seen: np.ndarray | None, whole: bool) -> DataFrame:
+def marked(df: DataFrame, key: str, short: list[int], seen: Broadcast | None, whole: bool) -> DataFrame:
     """(uid, key, n_words, marks) for each row."""
     small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
@@ -86,7 +82,7 @@ def marked(df: DataFrame, key: str, short: list[int], seen: np.ndarray | None, w
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 w = words(t or b"")
                 n.append(len(w))
-                found.append(marks(w, short, seen, whole))
+                found.append(marks(w, short, seen and seen.value, whole))
             arrays = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(found, MARKS)]
             yield pa.RecordBatch.from_arrays(arrays, ["uid", key, "n_words", "marks"])
 
@@ -110,18 +106,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with a null id are left out; repeated items count once, repeated documents keep their rows. Empty tables are
     fine on either side. Further columns are not read.
     """
+    spark = docs.sparkSession
     items = marked(benchmark.where("item_id is not null"), "item_id", [], None, True).where("n_words > 0")
     items = checkpoint(items.select("item_id", F.inline("marks")))
     variants = checkpoint(items.groupBy("size", "hash", "before", "core", "after").agg(F.min("at").alias("at")).select("*", F.monotonically_increasing_id().alias("variant")))
     same_text = ["size", "hash", "before", "core", "after"]
     owners = checkpoint(items.join(variants.drop("at"), same_text).select("variant", "item_id").distinct())
     short = sorted(r[0] for r in variants.where("size > 0").select("size").distinct().collect())  # below WINDOW
-    seen = np.zeros(FILTER_BITS, bool)
-    slot = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("hash", 42)))
-    bits = variants.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word"))
-    for r in bits.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 as int)))").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 32 rows
-        for i in range(32):
-            seen[r.word * 32 + i] = r.bits >> i & 1
+    seen = spark.sparkContext.broadcast(bloom(variants.select(F.col("hash").alias("key")), FILTER_BITS))
 
     found = written(marked(docs, "doc_id", short, seen, False))
     hits = found.where("size(marks) > 0").select("uid", F.inline("marks"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, simhash
+from . import decontamination, lines, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op4_packing": packing.op4_packing,
     "op8_decontamination": decontamination.op8_decontamination,
     "op10_quality": quality.op10_quality,

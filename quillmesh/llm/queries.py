@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, lines, packing, quality, simhash
+from . import decontamination, edits, fixity, lines, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": lines.op2_line_dedup,
     "op4_packing": packing.op4_packing,
+    "op6_secrets": secrets.op6_secrets,
+    "op7_warc_fixity": fixity.op7_warc_fixity,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_token_counts": edits.op9_token_counts,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
+    "op7_warc_fixity": fixity.OP7_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
     "op10_quality": quality.OP10_SQL,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, edits, fixity, lines, packing, quality, secrets, simhash
+from . import decontamination, edits, fixity, licenses, lines, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_line_dedup": lines.op2_line_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_licenses": licenses.op5_licenses,
     "op6_secrets": secrets.op6_secrets,
     "op7_warc_fixity": fixity.op7_warc_fixity,
     "op8_decontamination": decontamination.op8_decontamination,

@@ -1,23 +1,54 @@
-"""From raw documents to packed training sequences: five stages, each applying one operator to all rows."""
+"""From raw documents to packed training sequences: five stages, each applying one operator to all rows it is given.
+
+Each stage is written as a table in the shared folder and read again, so a lost executor costs at most a stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import simhash
+from quillmesh.llm import decontamination, lines, packing, quality, simhash
+from quillmesh.llm.common import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail policy v2 go."""
+    return quality.keep_good(docs, "v2")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier one are cut out of their documents; documents that lose all words go."""
+    return lines.drop_lines(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents linked by fingerprints over five-word shingles, the one with the smallest id stays."""
+    return simhash.keep_one(docs, words=5)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of words with a benchmark item go."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
-    return simhash.keep_one(docs)
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens and their places in windows."""
+    return packing.packed(docs)
 
 
-STAGES = [("simhash_near_dedup", near)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Fingerprints over XXH64 and a tokenizer's ids have no SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -95,8 +95,12 @@ def ablations(book: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of docs that pass the policy, columns as in docs."""
-    return ledger(docs).where(passes(F.col("failed"), policy)).select("row.*")
+    """The rows of docs that pass the policy, columns as in docs.
+
+    The row's number keeps Catalyst from pushing the condition, with all that it is computed from, below the ledger.
+    """
+    book = ledger(docs).withColumn("number", F.monotonically_increasing_id())
+    return book.where(passes(F.col("failed"), policy) & (F.col("number") >= 0)).select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quillmesh.functions import config
 from quillmesh.functions.similarity import similarity, tier
-from quillmesh.operators import dedup, integrity, ops, predict, search, stats, texts, versions
+from quillmesh.operators import bloom, dedup, integrity, ops, predict, search, stats, texts, versions
 from quillmesh.sources import tables as T
 from quillmesh.streaming import commits
 
@@ -213,6 +213,12 @@ def exact_candidate_shards(spark: SparkSession, sf: str) -> DataFrame:
     return versions.candidate_shards(T.postings(spark, sf), spark.range(0, 60, 4).withColumnRenamed("id", "document_id"))
 
 
+@query()
+def bloom_candidate_shards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.postings(spark, sf)
+    return bloom.candidate_shards(bloom.filters(rows, 1024, 0.01), spark.range(0, 60, 4).withColumnRenamed("id", "document_id"), 1024, 0.01)
+
+
 @query("select n::bigint as n, rate, ceil(-n * ln(rate) / (ln(2) * ln(2)))::bigint as bits, greatest(1, least(10, ceil(ceil(-n * ln(rate) / (ln(2) * ln(2))) / n * ln(2))))::bigint as hashes from (values (1000, 0.01::double), (1000, 0.001), (50000, 0.05), (10, 0.5)) as t(n, rate)")
 def bloom_parameters(spark: SparkSession, sf: str) -> DataFrame:
     rows = [(n, p, *config.bloom_parameters(n, p)) for n, p in ((1000, 0.01), (1000, 0.001), (50000, 0.05), (10, 0.5))]

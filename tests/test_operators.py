@@ -47,3 +47,14 @@ def test_pruned_search_finds_much_of_the_exact_result(spark):
 
     recall = {r.slop: r.recall for r in catalogue.QUERIES["knn_recall_by_slop"](spark, "/root/testdata/sf0.001").collect()}
     assert recall[10] == 1.0 and all(recall[a] <= recall[b] for a, b in zip((1, 2, 3, 5), (2, 3, 5, 10), strict=True))
+
+
+def test_bloom_filters_miss_no_shard(spark):
+    from quillmesh.operators import bloom
+    from quillmesh.sources import tables as T
+
+    rows, ids = T.postings(spark, "/root/testdata/sf0.01"), spark.range(0, 200).withColumnRenamed("id", "document_id")
+    maybe = {tuple(r) for r in bloom.candidate_shards(bloom.filters(rows, 64, 0.01), ids, 64, 0.01).collect()}
+    exact = {tuple(r) for r in versions.candidate_shards(rows, ids).collect()}
+    assert exact <= maybe and len(maybe - exact) <= 0.05 * 200 * 10
+    assert all(0 < r.load < 1 for r in bloom.filter_stats(bloom.filters(rows, 64, 0.01), 64, 0.01).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,51 +13,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bloom, checkpoint, small_batches, table, written
+from .common import bloom, checkpoint, discard, small_batches, table, written
 
 #: Lines match if the Jaccard similarity of their word sets is 4/5 or more: 9 shared >= 4 (size1 + size2).
 #: Counters of the frequency sketch, which orders words by rarity; any common order gives right results.
-SKETCH = 1 << 18
+SKETCH_BITS = 20
+SKETCH = 1 << SKETCH_BITS
 #: Bits of the filter that picks the lines to verify: 2 MB, whatever the number of lines.
 FILTER_BITS = 1 << 24
-#: Word hashes a worker remembers; beyond, it starts anew.
-MEMORY = 400_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """XXH64 of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def word_sets(text: bytes) -> list[tuple[int, set[bytes]]]:
+    """Number and words (A-Z lower-cased) of each line that has any."""
+    return [(i, found) for i, line in enumerate(text.lower().split(b"\n")) if (found := set(line.split()))]
 
 
-def word_sets(text: bytes) -> Iterator[tuple[int, set[bytes]]]:
-    """Number and words (A-Z lower-cased) of each line that has any."""
-    for i, line in enumerate(text.lower().split(b"\n")):
-        if found := set(line.split()):
-            yield i, found
+def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of documents' ids and line numbers."""
+    key = (doc.astype(np.uint64) * MIX) ^ line.astype(np.uint64)
+    key = (key ^ key >> np.uint64(32)) * MIX
+    return key ^ key >> np.uint64(29)
 
 
-def hashed(found: set[bytes], known: Hashes) -> np.ndarray:
-    return np.sort(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+def sums(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two sums of 64 bits of the hashes of each set, the same whatever their order."""
+    return [np.add.reduceat(x, at).view(np.int64) for x in (h, (h ^ h >> np.uint64(31)) * MIX)]
 
 
-def signature(h: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(h.tobytes())
+def hashed(sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, set after set, and where each set begins."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    words = (w for found in sets for w in found)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, int(sizes.sum())), np.cumsum(sizes) - sizes
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """In how many lines the words of each counter stand; SKETCH rows at most come to the driver."""
+    """In how many batches of documents the words of each counter stand; SKETCH rows at most come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Hashes(), np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int64)
         for b in batches:
+            found: set[bytes] = set()
             for t in b.column(0).cast(pa.binary()).to_pylist():
-                h = [known[w] for _, found in word_sets(t or b"") for w in found]
-                total += np.bincount(np.array(h, np.uint64).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
+                found.update((t or b"").lower().split())
+            h, _ = hashed([found])
+            total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
@@ -66,108 +68,134 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def line_rows(docs: DataFrame, rarity: Broadcast | None = None) -> DataFrame:
-    """(doc_id, text_hash, line, sig, size) of each line with words, and with rarity its prefix: the rarest words, any
-    match of the line shares one."""
+def line_rows(docs: DataFrame, rank: Broadcast) -> DataFrame:
+    """A row for each line with words: doc_id, text_hash, line; sig, equal for equal word sets (two sums of 64 bits);
+    place, a hash of doc_id and line;
+    size; bits, which two sets differ in at most as much as in words; prefix, of which any match shares a word.
+
+    A word is numbered by the rank of its counter, the rarest first, then the rest of its hash: one number a hash,
+    so that the prefixes of all lines follow one order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in batches:
-            rows: list[tuple] = []
+            docs_, keys, line, sets = [], [], [], []
             for doc, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 for i, found in word_sets(t or b""):
-                    h, prefix = hashed(found, known), None
-                    if rarity is not None:
-                        n = len(h) - -(-4 * len(h) // 5) + 1
-                        prefix = h[np.argsort(rarity.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:n]].view(np.int64)
-                    rows.append((doc, key, i, signature(h), len(h), prefix))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64())]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "line", "sig", "size", "prefix"])
-
-    small_batches(docs.sparkSession)
-    kind = "doc_id long, text_hash long, line int, sig binary, size int, prefix array<long>"
+                    docs_.append(doc), keys.append(key), line.append(i), sets.append(found)
+            if not sets:
+                continue
+            h, at = hashed(sets)
+            size = np.diff(at, append=len(h))
+            number = rank.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(64 - SKETCH_BITS) | h >> np.uint64(SKETCH_BITS)
+            prefix, n = [], size - -(-4 * size // 5) + 1
+            for a, z, k in zip(at.tolist(), (at + size).tolist(), n.tolist(), strict=True):
+                part = number[a:z]
+                part.sort()
+                prefix.append(part[:k].view(np.int64))
+            place = places(np.array(docs_, np.int64), np.array(line, np.int64)).view(np.int64)
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), at).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            arrays = [
+                pa.array(docs_, pa.int64()), pa.array(keys, pa.int64()), pa.array(line, pa.int32()), pa.array(place), *map(pa.array, sums(h, at)),
+                pa.array(size, pa.int32()), pa.array(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "line", "place", "sig", "sig2", "size", "bits", "prefix"])
+
+    kind = "doc_id long, text_hash long, line int, place long, sig long, sig2 long, size int, bits long, prefix array<long>"
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, kind)
 
 
 def line_texts(docs: DataFrame, wanted: Broadcast) -> DataFrame:
-    """(sig, words) of the lines whose signature passes the filter, one row a signature."""
+    """(sig, sig2, words) of the lines whose place passes the filter, one row a signature; words with one space between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in batches:
-            rows: dict[bytes, list[str]] = {}
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                every = [(signature(hashed(found, known)), found) for _, found in word_sets(t or b"")]
-                keys = np.frombuffer(b"".join(sig[:8] for sig, _ in every), ">u8").astype(np.uint64)
-                for (sig, found), yes in zip(every, wanted.value(keys), strict=True):
-                    if yes and sig not in rows:
-                        rows[sig] = [w.decode() for w in found]
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.list_(pa.string()))], ["sig", "words"])
+            every = [t.split(b"\n") for t in b.column(1).fill_null("").cast(pa.binary()).to_pylist()]
+            n = np.fromiter(map(len, every), np.int64, len(every))
+            line = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yes = wanted.value(places(np.repeat(b.column(0).to_numpy(), n), line))
+            of = np.repeat(np.arange(len(every)), n)[yes]
+            sets = [found for d, i in zip(of.tolist(), line[yes].tolist(), strict=True) if (found := set(every[d][i].lower().split()))]
+            if sets:
+                words = pa.array([b" ".join(found).decode() for found in sets], pa.string())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, sums(*hashed(sets))), words], ["sig", "sig2", "words"])
 
-    return docs.select("text").mapInArrow(run, "sig binary, words array<string>").dropDuplicates(["sig"])
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, sig2 long, words string").dropDuplicates(["sig", "sig2"])
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    return classes.select("id", "size", F.posexplode("prefix").alias("pos", "word"))
+def prefixes(classes: DataFrame, n: str) -> DataFrame:
+    """A row for each prefix word, the columns' names with a suffix; both sides of an inner join are built alike, so that
+    Spark deals them out once."""
+    rows = classes.select("doc_id", "line", "size", "bits", "id", F.posexplode("prefix").alias("pos", "word"))
+    return rows.toDF(*(c + n for c in rows.columns)) if n else rows
 
 
-#: Length and positional filters on the rows (size, pos) and (size2, pos2) of one shared prefix word.
-MAY_MATCH = "5 * least(size, size2) >= 4 * greatest(size, size2) and 9 * (least(size - pos, size2 - pos2)) >= 4 * (size + size2)"
+#: Length, positional and bit filters on two rows of one prefix word.
+MAY_MATCH = (
+    "5 * least(size1, size2) >= 4 * greatest(size1, size2) and 9 * least(size1 - pos1, size2 - pos2) >= 4 * (size1 + size2) "
+    "and 9 * bit_count(bits1 ^ bits2) <= size1 + size2"
+)
+#: Which of two classes stands earlier.
+EARLIER = "(doc_id2 < doc_id1 or doc_id2 = doc_id1 and (line2 < line1 or line2 = line1 and id2 < id1))"
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (id, id2), the ids whose line really matches."""
-    other = texts.select(F.col("id").alias("id2"), F.col("words").alias("words2"))
-    both = pairs.join(texts, "id").join(other, "id2")
-    return both.where("9 * size(array_intersect(words, words2)) >= 4 * (size(words) + size(words2))").select("id").distinct()
+    """Of the pairs (id1, id2), the id1 whose line really matches."""
+    a, b = (texts.select(F.col("id").alias(f"id{n}"), F.col("words").alias(f"words{n}")) for n in "12")
+    both = pairs.join(a, "id1").join(b, "id2")
+    w1, w2 = "split(words1, ' ')", "split(words2, ' ')"
+    return both.where(f"9 * size(array_intersect({w1}, {w2})) >= 4 * (size({w1}) + size({w2}))").select("id1").distinct()
 
 
 def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines (doc_id, text_hash, line, sig), and the classes of equal word sets (sig, first_doc, first_line,
-    matches): where a class first stands, and whether that line matches one of a class that stands earlier.
+    """The lines (doc_id, text_hash, line, sig, sig2), and the classes of equal word sets (sig, sig2, first_doc,
+    first_line, matches): where a class first stands, and whether that line matches one of a class that stands earlier.
 
-    Lines with equal word sets are one class, and classes are numbered in the order of their first lines. Each
-    class is first verified against one likely earlier class (the one beside it in the order for most of its prefix
-    words); only classes still without a match are joined with all earlier ones that pass the filters. So a family
-    of near copies makes as many pairs as it has members, not their square, and no match is lost.
+    Lines with equal word sets are one class. Each class that has a possible match is first verified against one
+    likely earlier class (the one before it in the order of first lines for most of its prefix words); only classes
+    still without a match are joined with all earlier ones that pass the filters. So a family of near copies makes
+    about as many pairs as it has members, not their square, and no match is lost.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
-    rarity = spark.sparkContext.broadcast(frequencies(docs))
-    lines = line_rows(docs, rarity)
-    classes = lines.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    classes = classes.select("sig", "first.*", "size", "prefix").orderBy("doc_id", "line", "sig")
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
-
-    every = prefixes(classes)
-    other = every.select(F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("word").alias("word2"))
-    some = every.join(other, F.expr(f"word = word2 and id <> id2 and {MAY_MATCH}"), "left_semi").select("id").distinct()
-    near = written(classes.join(checkpoint(some), "id", "left_semi"))
-    key = F.conv(F.substring(F.hex("sig"), 1, 16), 16, -10).cast("long").alias("key")
-    wanted = spark.sparkContext.broadcast(bloom(near.select(key), FILTER_BITS))
-    texts = written(line_texts(docs, wanted).join(near.select("sig", "id"), "sig").select("id", "words"))
-
-    every = prefixes(near)
-    order = Window.partitionBy("word").orderBy("id")
-    beside = every.withColumns({f"{c}2": F.lag(c).over(order) for c in ("id", "size", "pos")}).where(MAY_MATCH)
-    likely = beside.groupBy("id", "id2").count().groupBy("id").agg(F.max_by("id2", "count").alias("id2"))
+    small_batches(spark)
+    rank = np.empty(SKETCH, np.uint64)
+    rank[np.argsort(frequencies(docs), kind="stable")] = np.arange(SKETCH, dtype=np.uint64)
+    every = written(line_rows(docs, spark.sparkContext.broadcast(rank)))
+    first = every.groupBy("sig", "sig2").agg(F.min(F.struct("doc_id", "line", "place", "size", "bits", "prefix")).alias("first"))
+    classes = written(first.select("sig", "sig2", "first.*", F.monotonically_increasing_id().alias("id")))
+    lines = written(every.select("doc_id", "text_hash", "line", "sig", "sig2"))
+    discard(every)
+
+    # a semi-join of one plan with itself, without new names, deals the rows out once for both sides
+    rows = prefixes(classes, "")
+    apart = re.sub(r"\b(size|pos|bits)([12])\b", lambda m: f"{'ab'[int(m[2]) - 1]}.{m[1]}", MAY_MATCH)
+    some = checkpoint(rows.alias("a").join(rows.alias("b"), F.expr(f"a.word = b.word and a.id <> b.id and {apart}"), "left_semi").select("id").distinct())
+    near = written(classes.join(some, "id", "left_semi"))
+    wanted = spark.sparkContext.broadcast(bloom(near.select(F.col("place").alias("key")), FILTER_BITS))
+    texts = written(line_texts(docs, wanted).join(near.select("sig", "sig2", "id"), ["sig", "sig2"]).select("id", "words"))
+
+    every, names = prefixes(near, "1"), ["id", "doc_id", "line", "size", "bits", "pos"]
+    order = Window.partitionBy("word1").orderBy("doc_id1", "line1", "id1")
+    beside = every.withColumns({f"{c}2": F.lag(f"{c}1").over(order) for c in names}).where(MAY_MATCH)
+    likely = beside.groupBy("id1", "id2").count().groupBy("id1").agg(F.max_by("id2", "count").alias("id2"))
     found = checkpoint(verified(checkpoint(likely), texts))
-    other = every.select(F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), "word")
-    rest = every.join(found, "id", "left_anti").join(other, "word").where(f"id2 < id and {MAY_MATCH}")
-    more = verified(checkpoint(rest.select("id", "id2").distinct()), texts)
-    matches = found.unionByName(more).withColumn("matches", F.lit(True))
-    classes = classes.select("id", "sig", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(matches, "id", "left")
-    return lines, classes.select("sig", "first_doc", "first_line", F.coalesce("matches", F.lit(False)).alias("matches"))
+    rest = every.join(found, "id1", "left_anti").join(prefixes(near, "2"), F.expr(f"word1 = word2 and {EARLIER} and {MAY_MATCH}"))
+    more = verified(checkpoint(rest.select("id1", "id2").distinct()), texts)
+    numbered, matches = classes, found.unionByName(more).select(F.col("id1").alias("id"), F.lit(True).alias("matches"))
+    classes = classes.select("id", "sig", "sig2", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(matches, "id", "left")
+    classes = classes.select("sig", "sig2", "first_doc", "first_line", F.coalesce("matches", F.lit(False)).alias("matches"))
+    classes = checkpoint(classes)
+    discard(numbered, near, texts)
+    return lines, classes
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, gone): the numbers of the lines to remove, for the documents that have any."""
-    _, classes = later_matches(docs)
-    lines = line_rows(docs.where("doc_id is not null")).select("doc_id", "text_hash", "line", "sig")
+    lines, classes = later_matches(docs)
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    gone = lines.join(checkpoint(classes), "sig").where(~first | F.col("matches"))
+    gone = lines.join(classes, ["sig", "sig2"]).where(~first | F.col("matches"))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 

@@ -73,10 +73,9 @@ def linked(fps: DataFrame) -> DataFrame:
     that cell verifies the exact distance and keeps the rows that have a link, never the pairs.
     """
     grid = fps.select("fp", popcounts(F.col("fp")).alias("at")).select("fp", F.explode(cells(F.col("at"))).alias("cell"))
-    other = grid.select(F.col("fp").alias("fp2"), F.col("cell").alias("cell2"))
-    differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    on = (F.col("cell") == F.col("cell2")) & (differ > 0) & (differ <= MAX_BITS)
-    return grid.join(other, on, "left_semi").select("fp").distinct()
+    differ = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
+    on = (F.col("a.cell") == F.col("b.cell")) & (differ > 0) & (differ <= MAX_BITS)
+    return grid.alias("a").join(grid.alias("b"), on, "left_semi").select("fp").distinct()  # one plan on both sides: dealt out once
 
 
 def links(fps: DataFrame) -> DataFrame:

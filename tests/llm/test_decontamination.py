@@ -63,7 +63,7 @@ def test_edge_cases(spark):
     items = [(7, passage), (8, passage), (9, None), (10, "")]
     df = docs(spark, list(texts.values()), list(texts))
     assert got(D.contamination(df, bench(spark, items))) == brute(texts, items)
-    assert {r.doc_id for r in D.drop_contaminated(df, bench(spark, items)).collect()} == {0, 1, 3, 6}
+    assert {r.doc_id for r in D.drop_contaminated(df, bench(spark, items)).collect()} == {0, 1, 6}
     assert D.drop_contaminated(df, bench(spark, items)).columns == df.columns
     assert D.contamination(df.limit(0), bench(spark, items)).collect() == []
     assert got(D.contamination(df, bench(spark, []))) == brute(texts, [])

@@ -52,5 +52,5 @@ def test_edge_cases(spark):
     none = F.lit(None).cast("array<struct<at: long, cut: long, put: string>>")
     assert E.edited_counts(df, none).count() == 6
     assert E.edited_counts(df.limit(0), none).collect() == []
-    odd = F.expr("array(struct(-5L as at, cast(null as bigint) as cut, 'b' as put), struct(cast(null as bigint), 99L, cast(null as string)))")
-    assert {r.text_after for r in E.edited_counts(df, odd).collect()} == {"", "x" * 99_902, }
+    odd = F.expr("array(struct(-5L as at, cast(null as bigint) as cut, 'b' as put), struct(cast(null as bigint) as at, 99L as cut, cast(null as string) as put))")
+    assert {r.text_after for r in E.edited_counts(df, odd).collect()} == {"", "x" * 99_902}

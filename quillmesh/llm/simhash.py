@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, small_batches, table
+from .common import checkpoint, components, discard, small_batches, table, written
 
 #: A fingerprint has 16 segments of 4 bits; a segment's popcount (0 to 4) fits its own 4 bits of a long.
 SEGMENTS, WIDTH = 16, 4
@@ -111,17 +111,34 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(checkpoint(every), "fp").select("doc_id", "fp", "component_id", "n_rows")
 
 
+def keyed(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, fp) for each row of docs: doc_id and text_hash tell rows with different texts apart."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [simhash(t or b"", words) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_hash", "fp"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of docs that stay if each group of near-duplicates keeps its smallest doc_id; columns as in docs.
 
-    Of rows that repeat a doc_id in the group, one stays. A group whose ids all are null keeps one row.
+    Rows are told apart by doc_id and text, so that each group keeps one row whatever ids repeat or are null: of
+    rows that repeat the smallest doc_id in the group, one stays, and a group whose ids all are null keeps one row.
     """
-    found = near_duplicates(docs, words).groupBy(F.col("doc_id").alias("keep_id"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = found.agg(F.sum("n_rows").alias("keep_n"), F.bool_or(stays).alias("stays")).where("stays")
-    kept = docs.join(checkpoint(found), F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keys = written(keyed(docs, words))
+    edges = links(checkpoint(linked(checkpoint(keys.select("fp").distinct()))))
+    rows = keys.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = rows.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n_rows")).alias("first")
+    stays = checkpoint(rows.groupBy("root").agg(first).selectExpr("first.doc_id as keep_id", "first.text_hash as keep_hash", "first.n_rows as keep_n"))
+    discard(keys)
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64("text") == F.col("keep_hash")))
     once = kept.where("keep_n = 1").select(*docs.columns)
-    return once.unionByName(kept.where("keep_n > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return once.unionByName(kept.where("keep_n > 1").dropDuplicates(["doc_id", "keep_hash"]).select(*docs.columns))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,14 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or -1) for r in S.keep_one(df).collect()) == [-1, 4, 9]
 
 
+def test_null_and_repeated_ids_of_different_texts(spark):
+    """Two groups whose ids are null, two texts of one id, and a group whose smallest id also has another text."""
+    texts = ["x y z", "x y z", "other one here", "lone words stand", "some more to read", "third text of all", "third text of all", "x y z again and again"]
+    ids = [None, None, None, 9, 9, 9, 12, None]
+    kept = sorted((r.doc_id or -1, r.text) for r in S.keep_one(docs(spark, texts, ids)).collect())
+    assert kept == sorted([(-1, "x y z"), (-1, "other one here"), (9, "lone words stand"), (9, "some more to read"), (9, "third text of all"), (-1, "x y z again and again")])
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_other_shingles(spark, n):
     df = sample(spark).limit(60)

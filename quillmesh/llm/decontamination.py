@@ -72,23 +72,23 @@ def marks(w: list[bytes], short: list[int], seen: Filter | None, whole: bool) ->
 
 
 def marked(df: DataFrame, key: str, short: list[int], seen: Broadcast | None, whole: bool) -> DataFrame:
-    """(uid, key, n_words, marks) for each row."""
+    """(uid, key, text_hash, n_words, marks) for each row."""
     small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, found = [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
+            for t in b.column(3).cast(pa.binary()).to_pylist():
                 w = words(t or b"")
                 n.append(len(w))
                 found.append(marks(w, short, seen and seen.value, whole))
-            arrays = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(found, MARKS)]
-            yield pa.RecordBatch.from_arrays(arrays, ["uid", key, "n_words", "marks"])
+            arrays = [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(found, MARKS)]
+            yield pa.RecordBatch.from_arrays(arrays, ["uid", key, "text_hash", "n_words", "marks"])
 
     uid = F.monotonically_increasing_id().alias("uid")
-    out = f"uid long, {key} {kind}, n_words long, marks array<{MARK}>"
-    return df.select(uid, key, "text").mapInArrow(run, out)
+    out = f"uid long, {key} {kind}, text_hash long, n_words long, marks array<{MARK}>"
+    return df.select(uid, key, F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, out)
 
 
 def same(a: str, b: str) -> str:
@@ -99,19 +99,19 @@ def same(a: str, b: str) -> str:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text, ...): doc_id, n_words, n_hit, n_items, items (the sorted ids as strings).
+    """For each row of docs(doc_id, text, ...): doc_id, text_hash, n_words, n_hit, n_items, items (the sorted ids as strings).
 
     A window is WINDOW consecutive words of an item of benchmark(item_id, text, ...), or all words of a shorter
-    one; n_hit counts the words inside any occurrence of one. A null text has no words; items without words or
-    with a null id are left out; repeated items count once, repeated documents keep their rows. Empty tables are
+    one; n_hit counts the words inside any occurrence of one. A null text has no words; items without words are
+    left out, those with a null id count in n_hit but are not listed; repeated items count once, repeated documents keep their rows. Empty tables are
     fine on either side. Further columns are not read.
     """
     spark = docs.sparkSession
-    items = marked(benchmark.where("item_id is not null"), "item_id", [], None, True).where("n_words > 0")
+    items = marked(benchmark, "item_id", [], None, True).where("n_words > 0")
     items = checkpoint(items.select("item_id", F.inline("marks")))
     variants = checkpoint(items.groupBy("size", "hash", "before", "core", "after").agg(F.min("at").alias("at")).select("*", F.monotonically_increasing_id().alias("variant")))
     same_text = ["size", "hash", "before", "core", "after"]
-    owners = checkpoint(items.join(variants.drop("at"), same_text).select("variant", "item_id").distinct())
+    owners = checkpoint(items.join(variants.drop("at"), same_text).where("item_id is not null").select("variant", "item_id").distinct())
     short = sorted(r[0] for r in variants.where("size > 0").select("size").distinct().collect())  # below WINDOW
     seen = spark.sparkContext.broadcast(bloom(variants.select(F.col("hash").alias("key")), FILTER_BITS))
 
@@ -132,15 +132,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = places.groupBy("uid").agg(F.sum(F.expr("greatest(0L, b - greatest(a, upto))")).alias("n_hit"))
     of = spans.select("uid", "variant").distinct().join(owners, "variant").select("uid", "item_id").distinct()
     of = of.groupBy("uid").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
-    out = found.select("uid", "doc_id", "n_words").join(n_hit, "uid", "left").join(of, "uid", "left")
+    out = found.select("uid", "doc_id", "text_hash", "n_words").join(n_hit, "uid", "left").join(of, "uid", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
+    return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has no contaminated row; columns as in docs."""
-    bad = checkpoint(contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of docs without a contaminated word; columns as in docs. Rows are told apart by doc_id and text, so a
+    row with a null or repeated doc_id stays or goes by its own text."""
+    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash"))
+    return docs.join(checkpoint(bad.distinct()), same, "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,15 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id or -1, r.n_hit) for r in rows) == [(-1, 40), (1, 0), (1, 40), (1, 40)]
 
 
+def test_null_and_repeated_ids(spark):
+    """A row stays or goes by its own text, and an item without an id counts though it isn't listed."""
+    passage, nameless, clean = (" ".join(f"{c}{i}" for i in range(20)) for c in "wnc")
+    df = docs(spark, [passage, clean, passage, clean + " a", nameless, None], [None, None, 1, 1, 2, None])
+    items = bench(spark, [(7, passage), (None, nameless)])
+    assert sorted((r.doc_id or -1, r.n_hit, list(r.items)) for r in D.contamination(df, items).collect()) == [(-1, 0, []), (-1, 0, []), (-1, 20, ["7"]), (1, 0, []), (1, 20, ["7"]), (2, 20, [])]
+    assert {(r.doc_id, r.text) for r in D.drop_contaminated(df, items).collect()} == {(None, clean), (1, clean + " a"), (None, None)}
+
+
 def test_any_shared_window_has_a_common_fingerprint():
     rnd = random.Random(2)
     for _ in range(300):

@@ -22,8 +22,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by fingerprints over five-word shingles, the one with the smallest id stays."""
-    return simhash.keep_one(docs, words=5)
+    """Of the documents linked by fingerprints over five-word shingles, or by a Jaccard similarity of 0.8 or more over
+    them, the one with the smallest id stays."""
+    return simhash.keep_one(docs, words=5, jaccard=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,14 +123,20 @@ def keyed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 3, jaccard: bool = False) -> DataFrame:
     """The rows of docs that stay if each group of near-duplicates keeps its smallest doc_id; columns as in docs.
 
+    With jaccard, rows whose sets of shingles have a Jaccard similarity of 0.8 or more are linked too.
+
     Rows are told apart by doc_id and text, so that each group keeps one row whatever ids repeat or are null: of
     rows that repeat the smallest doc_id in the group, one stays, and a group whose ids all are null keeps one row.
     """
-    keys = written(keyed(docs, words))
+    from . import shingles  # it uses the fingerprints of this module
+
+    keys = written(shingles.keyed(docs, words) if jaccard else keyed(docs, words))
     edges = links(checkpoint(linked(checkpoint(keys.select("fp").distinct()))))
+    if jaccard:
+        edges = shingles.similar(docs, keys, edges, words)
     rows = keys.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = rows.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n_rows")).alias("first")

@@ -22,8 +22,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 #: An assignment is an operator with a name before it and an expression of literals and names after it.
 OPERATOR = re.compile(r":=|=>|[:=](?![:=])")
-NAME = re.compile(r"""(?:^|[^\w.\-])(["']?)([A-Za-z_][\w.\-]{0,79})\1[ \t]{0,8}$""", re.A)
-NAME_REACH = 100
+#: A name, the blanks after it and the end of its line, read backwards from the operator, as far as they go.
+NAME_BACK = re.compile(r"""\n?[ \t]*(["']?)([\w.\-]*[A-Za-z_])\1(?![\w.\-])""", re.A)
 TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][\w.]*)(?![\w+/=\-])|([A-Za-z0-9+/_.=\-]+))""", re.A)
 JOINT = re.compile(r"[ \t]*(?:\+|\.\.|&)(?=[ \t]*[\"'A-Za-z_])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -57,12 +57,12 @@ def literal_weight(value: str) -> float:
 
 def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
     """(name, terms) of each assignment; a term is (text, start, end, whether it is a name)."""
-    at = 0
+    at = high = 0
     for op in OPERATOR.finditer(text):
+        low, high = high, op.end()  # a name has no operator in it: what is read backwards adds up to the text
         if op.start() < at:
             continue
-        low = max(0, op.start() - NAME_REACH)
-        name = NAME.search(text[low : op.start()])
+        name = NAME_BACK.match(text[low : op.start()][::-1])
         if not name:
             continue
         terms, pos = [], op.end()
@@ -76,7 +76,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool
             pos = joint.end()
         if terms:
             at = terms[0][1]  # what stands in the value may be an assignment itself: {"a": {"b": 1}}
-            yield name[2], terms
+            yield name[2][::-1], terms
 
 
 def literals(text: str) -> list[tuple[int, int, str, float]]:

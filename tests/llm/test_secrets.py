@@ -55,3 +55,12 @@ def test_assignments():
     assert literals('{"user": "bob", "private_key": "m4N8vB2xQz"}') == ["m4N8vB2xQz"]
     assert literals("export API_TOKEN=f8Jd72Kq9LmX") == ["f8Jd72Kq9LmX"]
     assert literals("password: changeme123\npassword = '${SECRET_VALUE}'\ncolour = 'q8Zr71LmPx2'\ntitle: passwords are long") == []
+
+
+def test_aligned_columns_and_long_names():
+    assert literals("client_credentials" + " " * 12 + '= "k3y-Zx81qPw0Lm"') == ["k3y-Zx81qPw0Lm"]
+    assert literals("auth_private\t" + " " * 5000 + ": 'q8Zr-71LmPx2'") == ["q8Zr-71LmPx2"]
+    long = ".".join(f"service{i}" for i in range(40)) + ".credentials"
+    assert literals(f'{long} = "k3y-Zx81qPw0Lm"') == ["k3y-Zx81qPw0Lm"] == literals(f"'{long}'   => \"k3y-Zx81qPw0Lm\"")
+    assert literals(f"{long}_of_it" + " " * 20 + f'= "k3y-Zx81qPw0Lm"\nb{" " * 30}= {long}_of_it\nx = b') == ["k3y-Zx81qPw0Lm"]
+    assert literals("9" + "x" * 200_000 + ".credentials = 'q8Zr-71LmPx2'\n" + " " * 200_000 + "= 'q8Zr-71LmPx2'") == []

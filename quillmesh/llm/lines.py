@@ -2,200 +2,112 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bloom, checkpoint, discard, small_batches, table, written
-
-#: Lines match if the Jaccard similarity of their word sets is 4/5 or more: 9 shared >= 4 (size1 + size2).
-#: Counters of the frequency sketch, which orders words by rarity; any common order gives right results.
-SKETCH_BITS = 20
-SKETCH = 1 << SKETCH_BITS
-#: Bits of the filter that picks the lines to verify: 2 MB, whatever the number of lines.
-FILTER_BITS = 1 << 24
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_sets(text: bytes) -> list[tuple[int, set[bytes]]]:
-    """Number and words (A-Z lower-cased) of each line that has any."""
-    return [(i, found) for i, line in enumerate(text.lower().split(b"\n")) if (found := set(line.split()))]
-
-
-def places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash of documents' ids and line numbers."""
-    key = (doc.astype(np.uint64) * MIX) ^ line.astype(np.uint64)
-    key = (key ^ key >> np.uint64(32)) * MIX
-    return key ^ key >> np.uint64(29)
-
-
-def sums(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Two sums of 64 bits of the hashes of each set, the same whatever their order."""
-    return [np.add.reduceat(x, at).view(np.int64) for x in (h, (h ^ h >> np.uint64(31)) * MIX)]
-
-
-def hashed(sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, set after set, and where each set begins."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    words = (w for found in sets for w in found)
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, int(sizes.sum())), np.cumsum(sizes) - sizes
-
-
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """In how many batches of documents the words of each counter stand; SKETCH rows at most come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            found: set[bytes] = set()
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                found.update((t or b"").lower().split())
-            h, _ = hashed([found])
-            total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SKETCH, np.int64)
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return out
+from . import sets
+from .common import checkpoint, discard, small_batches, table, written
 
 
 def line_rows(docs: DataFrame, rank: Broadcast) -> DataFrame:
-    """A row for each line with words: doc_id, text_hash, line; sig, equal for equal word sets (two sums of 64 bits);
-    place, a hash of doc_id and line;
-    size; bits, which two sets differ in at most as much as in words; prefix, of which any match shares a word.
-
-    A word is numbered by the rank of its counter, the rarest first, then the rest of its hash: one number a hash,
-    so that the prefixes of all lines follow one order.
-    """
+    """A row for each line with words: doc_id, text_hash, line, and its set of words as described() in sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs_, keys, line, sets = [], [], [], []
-            for doc, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                for i, found in word_sets(t or b""):
-                    docs_.append(doc), keys.append(key), line.append(i), sets.append(found)
-            if not sets:
+            doc, line, h = sets.words_of(b.column(2))
+            if not len(h):
                 continue
-            h, at = hashed(sets)
-            size = np.diff(at, append=len(h))
-            number = rank.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(64 - SKETCH_BITS) | h >> np.uint64(SKETCH_BITS)
-            prefix, n = [], size - -(-4 * size // 5) + 1
-            for a, z, k in zip(at.tolist(), (at + size).tolist(), n.tolist(), strict=True):
-                part = number[a:z]
-                part.sort()
-                prefix.append(part[:k].view(np.int64))
-            place = places(np.array(docs_, np.int64), np.array(line, np.int64)).view(np.int64)
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), at).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            arrays = [
-                pa.array(docs_, pa.int64()), pa.array(keys, pa.int64()), pa.array(line, pa.int32()), pa.array(place), *map(pa.array, sums(h, at)),
-                pa.array(size, pa.int32()), pa.array(bits), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix))),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "line", "place", "sig", "sig2", "size", "bits", "prefix"])
-
-    kind = "doc_id long, text_hash long, line int, place long, sig long, sig2 long, size int, bits long, prefix array<long>"
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, kind)
-
-
-def line_texts(docs: DataFrame, wanted: Broadcast) -> DataFrame:
-    """(sig, sig2, words) of the lines whose place passes the filter, one row a signature; words with one space between."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every = [t.split(b"\n") for t in b.column(1).fill_null("").cast(pa.binary()).to_pylist()]
-            n = np.fromiter(map(len, every), np.int64, len(every))
-            line = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yes = wanted.value(places(np.repeat(b.column(0).to_numpy(), n), line))
-            of = np.repeat(np.arange(len(every)), n)[yes]
-            sets = [found for d, i in zip(of.tolist(), line[yes].tolist(), strict=True) if (found := set(every[d][i].lower().split()))]
-            if sets:
-                words = pa.array([b" ".join(found).decode() for found in sets], pa.string())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, sums(*hashed(sets))), words], ["sig", "sig2", "words"])
+            new = np.ones(len(h), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
+            at, number = sets.as_sets(np.cumsum(new), h, rank.value)
+            of = pa.array(doc[new])
+            found = {"doc_id": b.column(0).take(of), "text_hash": b.column(1).take(of), "line": pa.array(line[new], pa.int32()), **sets.described(at, number)}
+            yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, sig2 long, words string").dropDuplicates(["sig", "sig2"])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, f"doc_id long, text_hash long, line int, {sets.SETS}")
 
 
-def prefixes(classes: DataFrame, n: str) -> DataFrame:
-    """A row for each prefix word, the columns' names with a suffix; both sides of an inner join are built alike, so that
-    Spark deals them out once."""
-    rows = classes.select("doc_id", "line", "size", "bits", "id", F.posexplode("prefix").alias("pos", "word"))
-    return rows.toDF(*(c + n for c in rows.columns)) if n else rows
+def line_texts(docs: DataFrame, near: DataFrame, rank: Broadcast) -> DataFrame:
+    """(id, words, signature) of the lines near(id, doc_id, text_hash, line); the different words with one space between."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, words = [], []
+            for text, wanted in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                for w in wanted:
+                    ids.append(w["id"]), words.append(b" ".join(set(lines[w["line"]].lower().split())))
+            texts = pa.array(words, pa.binary()).cast(pa.string())
+            of, _, h = sets.words_of(texts)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), texts, *sets.signatures(*sets.as_sets(of, h, rank.value))], ["id", "words", *(f"s{i}" for i in range(sets.LONGS))])
 
-#: Length, positional and bit filters on two rows of one prefix word.
-MAY_MATCH = (
-    "5 * least(size1, size2) >= 4 * greatest(size1, size2) and 9 * least(size1 - pos1, size2 - pos2) >= 4 * (size1 + size2) "
-    "and 9 * bit_count(bits1 ^ bits2) <= size1 + size2"
-)
-#: Which of two classes stands earlier.
-EARLIER = "(doc_id2 < doc_id1 or doc_id2 = doc_id1 and (line2 < line1 or line2 = line1 and id2 < id1))"
+    wanted = near.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    df = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, ["doc_id", "text_hash"])
+    return df.select("text", "wanted").mapInArrow(run, f"id long, words string, {sets.SIGNATURE}").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (id1, id2), the id1 whose line really matches."""
+    """Of the pairs (id1, id2), the id1 whose words really match."""
     a, b = (texts.select(F.col("id").alias(f"id{n}"), F.col("words").alias(f"words{n}")) for n in "12")
     both = pairs.join(a, "id1").join(b, "id2")
     w1, w2 = "split(words1, ' ')", "split(words2, ' ')"
-    return both.where(f"9 * size(array_intersect({w1}, {w2})) >= 4 * (size({w1}) + size({w2}))").select("id1").distinct()
+    return both.where(f"9 * size(array_intersect({w1}, {w2})) >= 4 * (size({w1}) + size({w2}))").select(F.col("id1").alias("id")).distinct()
+
+
+#: Which of two lines stands earlier; lines at one place are those of texts that share a doc_id.
+EARLIER = "struct(b.doc_id, b.line, b.text_hash) < struct(a.doc_id, a.line, a.text_hash)"
 
 
 def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines (doc_id, text_hash, line, sig, sig2), and the classes of equal word sets (sig, sig2, first_doc,
-    first_line, matches): where a class first stands, and whether that line matches one of a class that stands earlier.
+    first_line, first_hash, n, matches): where a class first stands, its lines, and whether that first line matches one
+    of a class that stands earlier.
 
-    Lines with equal word sets are one class. Each class that has a possible match is first verified against one
-    likely earlier class (the one before it in the order of first lines for most of its prefix words); only classes
-    still without a match are joined with all earlier ones that pass the filters. So a family of near copies makes
-    about as many pairs as it has members, not their square, and no match is lost.
+    Lines with equal word sets are one class. A semi-join finds the classes with possible matches; only their words
+    are fetched. In each round (sets.pairs) a class still without a match is verified against its closest partner
+    that takes part, in the last one against all.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
     small_batches(spark)
-    rank = np.empty(SKETCH, np.uint64)
-    rank[np.argsort(frequencies(docs), kind="stable")] = np.arange(SKETCH, dtype=np.uint64)
-    every = written(line_rows(docs, spark.sparkContext.broadcast(rank)))
-    first = every.groupBy("sig", "sig2").agg(F.min(F.struct("doc_id", "line", "place", "size", "bits", "prefix")).alias("first"))
-    classes = written(first.select("sig", "sig2", "first.*", F.monotonically_increasing_id().alias("id")))
+    rank = spark.sparkContext.broadcast(sets.ranked(docs, lambda texts: sets.words_of(texts)[2]))
+    every = written(line_rows(docs, rank))
+    first = F.min(F.struct("doc_id", "line", "text_hash", "size", "bits", "prefix")).alias("first")
+    classes = every.groupBy("sig", "sig2").agg(first, F.count(F.lit(1)).alias("n"))
+    classes = written(classes.select("sig", "sig2", "first.*", "n", F.monotonically_increasing_id().alias("id")))
     lines = written(every.select("doc_id", "text_hash", "line", "sig", "sig2"))
     discard(every)
 
-    # a semi-join of one plan with itself, without new names, deals the rows out once for both sides
-    rows = prefixes(classes, "")
-    apart = re.sub(r"\b(size|pos|bits)([12])\b", lambda m: f"{'ab'[int(m[2]) - 1]}.{m[1]}", MAY_MATCH)
-    some = checkpoint(rows.alias("a").join(rows.alias("b"), F.expr(f"a.word = b.word and a.id <> b.id and {apart}"), "left_semi").select("id").distinct())
-    near = written(classes.join(some, "id", "left_semi"))
-    wanted = spark.sparkContext.broadcast(bloom(near.select(F.col("place").alias("key")), FILTER_BITS))
-    texts = written(line_texts(docs, wanted).join(near.select("sig", "sig2", "id"), ["sig", "sig2"]).select("id", "words"))
-
-    every, names = prefixes(near, "1"), ["id", "doc_id", "line", "size", "bits", "pos"]
-    order = Window.partitionBy("word1").orderBy("doc_id1", "line1", "id1")
-    beside = every.withColumns({f"{c}2": F.lag(f"{c}1").over(order) for c in names}).where(MAY_MATCH)
-    likely = beside.groupBy("id1", "id2").count().groupBy("id1").agg(F.max_by("id2", "count").alias("id2"))
-    found = checkpoint(verified(checkpoint(likely), texts))
-    rest = every.join(found, "id1", "left_anti").join(prefixes(near, "2"), F.expr(f"word1 = word2 and {EARLIER} and {MAY_MATCH}"))
-    more = verified(checkpoint(rest.select("id1", "id2").distinct()), texts)
-    numbered, matches = classes, found.unionByName(more).select(F.col("id1").alias("id"), F.lit(True).alias("matches"))
-    classes = classes.select("id", "sig", "sig2", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line")).join(matches, "id", "left")
-    classes = classes.select("sig", "sig2", "first_doc", "first_line", F.coalesce("matches", F.lit(False)).alias("matches"))
-    classes = checkpoint(classes)
-    discard(numbered, near, texts)
-    return lines, classes
+    rows = sets.near_rows(classes)
+    near = written(classes.select("id", "doc_id", "line", "text_hash").join(rows.select("id").distinct(), "id", "left_semi"))
+    texts = written(line_texts(docs, near, rank))
+    signed = written(rows.join(near, "id").join(texts.drop("words"), "id"))
+    found = None
+    for share in sets.shares(rows):
+        left = signed if found is None else signed.join(found, "id", "left_anti")
+        some = sets.pairs(left, signed, EARLIER, share, ["a.id as id1", "b.id as id2"])
+        some = some.groupBy("id1").agg(F.min_by("id2", "differ").alias("id2")) if share > 1 else some.select("id1", "id2").distinct()
+        more = verified(checkpoint(some), texts)
+        found = checkpoint(more if found is None else found.unionByName(more))
+    out = classes.join(found.withColumn("matches", F.lit(True)), "id", "left")
+    out = out.selectExpr("sig", "sig2", "doc_id as first_doc", "line as first_line", "text_hash as first_hash", "n", "coalesce(matches, false) as matches")
+    out = written(out)
+    discard(classes, rows, near, texts, signed)
+    return lines, out
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, gone): the numbers of the lines to remove, for the documents that have any."""
     lines, classes = later_matches(docs)
-    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    gone = lines.join(classes, ["sig", "sig2"]).where(~first | F.col("matches"))
+    first = "doc_id = first_doc and line = first_line and text_hash = first_hash"
+    gone = lines.join(classes.where("n > 1 or matches"), ["sig", "sig2"]).where(f"matches or not ({first})")
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
 
 

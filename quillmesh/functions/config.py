@@ -99,6 +99,15 @@ def effective_slop(config: Config, n_shards: int) -> int:
     return min(max(config.slop + wider, config.min_slop), config.max_slop)
 
 
+def optimal_slop(dimension: int, n_shards: int) -> int:
+    """A breadth for an index of so many shards: 3, wider for long vectors, never wider than the shards allow."""
+    if n_shards <= 1:
+        return 1
+    wanted = 3 + (2 if dimension > 512 else 1 if dimension > 256 else 0)
+    most = n_shards if n_shards <= 5 else 5 + (n_shards - 5) // 3 if n_shards <= 20 else 10 + (n_shards - 20) // 8 if n_shards <= 100 else 20
+    return min(wanted, most, n_shards)
+
+
 def bloom_parameters(n: int, rate: float) -> tuple[int, int]:
     """Bits and hashes of a Bloom filter for n keys at a rate of false positives; 1 to 10 hashes."""
     bits = math.ceil(-n * math.log(rate) / math.log(2) ** 2)

@@ -24,7 +24,7 @@ def distance(a: str, b: str) -> str:
 
 
 def similarity(metric: str, a: str, b: str) -> str:
-    """The score of two vectors of one dimension."""
+    """The score of two vectors of one dimension; vectors of unlike dimensions, neither empty, are an error."""
     if metric == "cosine":
         raw = f"(greatest(-1D, least(1D, try_divide({dot(a, b)}, {norm(a)} * {norm(b)}))) + 1D) / 2D"
         raw = f"case when isnan({dot(a, b)}) or {norm(a)} * {norm(b)} = 0D then 0.5D else {raw} end"
@@ -34,7 +34,8 @@ def similarity(metric: str, a: str, b: str) -> str:
         raw = f"1D / (1D + exp(-({dot(a, b)})))"
     else:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}: {metric}")
-    return f"case when {a} is null or {b} is null or size({a}) = 0 or size({b}) = 0 or isnan({raw}) then 0.5D else {raw} end"
+    unlike = f"size({a}) <> size({b}) then raise_error(concat('vectors of ', size({a}), ' and ', size({b}), ' elements'))"
+    return f"case when {a} is null or {b} is null or size({a}) = 0 or size({b}) = 0 then 0.5D when {unlike} when isnan({raw}) then 0.5D else {raw} end"
 
 
 def tier(score: str) -> str:

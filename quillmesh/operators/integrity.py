@@ -48,7 +48,46 @@ def cross_references(postings: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.groupBy("issue").agg(F.count(F.lit(1)).alias("n")).withColumn("severity", F.expr("case issue when 'posting without vector' then 0.9D else 0.7D end"))
 
 
+#: Fixed by the rules of integrity reports: for each kind of corruption its priority (1 the most urgent), where
+#: it depends on severity the limit and the priority above it, its repair difficulty (1 to 5), whether it always
+#: blocks, and whether it can be repaired by itself if it is recoverable.
+CORRUPTIONS = [
+    ("header", 1, None, None, 5, True, False),
+    ("data", 2, 0.8, 1, 2, False, True),
+    ("truncation", 2, None, None, 5, False, False),
+    ("structure", 1, None, None, 4, True, False),
+    ("cross_validation", 2, None, None, 3, False, True),
+    ("partial", 4, 0.5, 3, 2, False, True),
+]
+
+
 def ranked_issues(issues: DataFrame) -> DataFrame:
-    """issues(component, issue, severity) with blocking (over 0.9) and priority: 1 the most severe."""
-    level = "case when severity > 0.9D then 1 when severity >= 0.7D then 2 when severity >= 0.5D then 3 else 4 end"
-    return issues.selectExpr("*", "severity > 0.9D as blocking", f"{level} as priority")
+    """issues(component, kind, severity, recoverable) with priority, blocking, difficulty and auto_repairable.
+
+    kind is one of CORRUPTIONS; of an unknown kind all four are null, but for blocking where the severity is over 0.9.
+    """
+    by = lambda i: " ".join(f"when '{c[0]}' then {str(c[i]).lower()}" for c in CORRUPTIONS)
+    above = " ".join(f"when kind = '{c[0]}' and severity > {c[2]}D then {c[3]}" for c in CORRUPTIONS if c[2])
+    return issues.selectExpr(
+        "*", f"case {above} else case kind {by(1)} end end as priority", f"severity > 0.9D or case kind {by(5)} end as blocking",
+        f"case kind {by(4)} end as difficulty", f"case kind {by(6)} end and recoverable as auto_repairable",
+    )
+
+
+def found_issues(vectors: DataFrame, postings: DataFrame, capacity: int) -> DataFrame:
+    """The issues of all shards (component, shard_id, issue, kind, severity, recoverable), ranked: vectors(shard_id,
+    seq, vector) and postings(shard_id, document_id, start, length, seq) against each other and by their own rules."""
+    bad = vector_quality(vectors).where("issue is not null").selectExpr("'vectors' as component", "cast(shard_id as bigint) as shard_id", "issue", "'data' as kind", "severity", "true as recoverable")
+    rows = posting_quality(postings, capacity).where("issues <> ''")
+    posts = rows.selectExpr("'postings' as component", "cast(shard_id as bigint) as shard_id", "explode(split(issues, ',')) as issue")
+    posts = posts.selectExpr("*", "case issue when 'over capacity' then 'structure' else 'partial' end as kind", "case issue when 'overflow' then 0.9D when 'over capacity' then 0.8D else 0.6D end as severity", "issue <> 'overflow' as recoverable")
+    cross = cross_references(postings, vectors).selectExpr("'references' as component", "cast(null as bigint) as shard_id", "issue", "'cross_validation' as kind", "severity", "true as recoverable")
+    return ranked_issues(bad.unionByName(posts).unionByName(cross))
+
+
+def integrity_summary(issues: DataFrame) -> DataFrame:
+    """One row over ranked issues: how many, blocking, to be repaired by themselves, the worst severity, whether all is well."""
+    return issues.selectExpr(
+        "count(1) as n_issues", "count_if(blocking) as n_blocking", "count_if(auto_repairable) as n_auto_repairable",
+        "coalesce(max(severity), 0D) as worst", "coalesce(min(priority), 0) as first_priority", "count(1) = 0 as valid",
+    )

@@ -6,9 +6,9 @@ store_text or delete_text.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Fixed by the format: bytes of an operation of each kind, without its vector or text.
 SIZE = """case op when 'add_posting' then 29 + 4 * coalesce(size(vector), 0) when 'store_text' then 21 + coalesce(octet_length(text), 0)
@@ -44,11 +44,12 @@ def unprocessed(operations: DataFrame, processed: DataFrame) -> DataFrame:
 
 def postings_of(operations: DataFrame) -> DataFrame:
     """The postings that stand after all operations in the order (txn_id, op_ordinal): those that no later remove of
-    their document follows. One maximum a document and a join; no ordered walk."""
+    their document follows; of equal keys in one operation the one with the greatest vector. One maximum a document
+    and a join; no ordered walk."""
     at = F.struct("txn_id", "op_ordinal")
     removes = operations.where("op = 'remove_document'").groupBy("document_id").agg(F.max(at).alias("removed_at"))
-    adds = operations.where("op = 'add_posting'").withColumn("at", at).join(removes, "document_id", "left")
-    adds = adds.where("removed_at is null or at > removed_at")
+    adds = operations.where("op = 'add_posting'").withColumn("at", F.struct("txn_id", "op_ordinal", "vector")).join(removes, "document_id", "left")
+    adds = adds.where("removed_at is null or struct(txn_id, op_ordinal) > removed_at")
     newest = adds.groupBy("document_id", "start", "length").agg(F.max_by(F.struct("txn_id", "op_ordinal", "vector"), "at").alias("n"))
     return newest.select("document_id", "start", "length", "n.*")
 
@@ -60,11 +61,29 @@ def texts_of(operations: DataFrame) -> DataFrame:
     return newest.where("n.op = 'store_text'").select("document_id", "n.text")
 
 
-def batches(operations: DataFrame, max_ops: int) -> DataFrame:
-    """(txn_id, batch, n_ops, bytes): each transaction's operations in batches of at most so many."""
-    place = F.row_number().over(Window.partitionBy("txn_id").orderBy("op_ordinal")) - 1
-    rows = sized(operations).withColumn("batch", F.floor(place / max_ops))
-    return rows.groupBy("txn_id", "batch").agg(F.count(F.lit(1)).alias("n_ops"), F.sum("bytes").alias("bytes"))
+def batches(operations: DataFrame, max_ops: int, max_bytes: int) -> DataFrame:
+    """(txn_id, batch, n_ops, bytes): each transaction's operations in batches; a batch ends with the operation that
+    makes it max_ops, or more than max_bytes.
+
+    Where a batch ends depends on where the one before did, so a task walks along each transaction: two numbers an
+    operation, in Arrow batches.
+    """
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        out, n, total = [], 0, 0
+        for size in p.sort_values("op_ordinal")["bytes"]:
+            n, total = n + 1, total + size
+            if n >= max_ops or total > max_bytes:
+                out.append((n, total))
+                n = total = 0
+        if n:
+            out.append((n, total))
+        found = pd.DataFrame(out, columns=["n_ops", "bytes"])
+        return found.assign(txn_id=p["txn_id"].iloc[0], batch=range(len(found)))
+
+    kind = operations.schema["txn_id"].dataType.simpleString()
+    rows = sized(operations).select("txn_id", "op_ordinal", "bytes")
+    return rows.groupBy("txn_id").applyInPandas(run, f"txn_id {kind}, batch long, n_ops long, bytes long").select("txn_id", "batch", "n_ops", "bytes")
 
 
 def replay_stats(operations: DataFrame, processed: DataFrame) -> DataFrame:

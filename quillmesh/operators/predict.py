@@ -15,10 +15,10 @@ REACH, SECONDS, PARTNERS, LEAST = 10, 1800, 50, 0.1
 
 def sequence_scores(log: DataFrame, document: int) -> DataFrame:
     """(next_id, score): each earlier access i of the document adds 1 / (n - i) to the one that follows it."""
-    n = log.count()
+    n = log.agg(F.count(F.lit(1)).alias("n"))  # one row
     follow = log.select((F.col("pos") - 1).alias("pos"), F.col("document_id").alias("next_id"))
-    hits = log.where(F.col("document_id") == document).join(follow, "pos")
-    return hits.groupBy("next_id").agg(F.round(F.sum(F.lit(1.0) / (n - F.col("pos"))), 6).alias("score"))
+    hits = log.where(F.col("document_id") == document).join(follow, "pos").join(F.broadcast(n))
+    return hits.groupBy("next_id").agg(F.round(F.sum(F.lit(1.0) / (F.col("n") - F.col("pos"))), 6).alias("score"))
 
 
 def cooccurrence(log: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +15,7 @@ from quillmesh.functions.config import QueryError
 from quillmesh.functions.similarity import METRICS, distance, similarity
 from quillmesh.operators.dedup import deduplicated
 from quillmesh.operators.versions import latest
+from quillmesh.sources.shared import kept_apart
 
 #: Shards whose centroids go to the tasks at once; more are routed to in blocks of so many.
 BLOCK = 4096
@@ -59,9 +63,9 @@ def search(postings: DataFrame, query: list[float], k: int, slop: int = 3, metri
     shards: (shard_id, centroid), computed from the postings if not given. At most slop rows are broadcast.
     """
     check_query(query, k, slop, metric=metric)
-    current = latest(postings).where("not deleted")
-    near = nearest_shards(centroids(current) if shards is None else shards, query, slop)
+    near = nearest_shards(centroids(latest(postings).where("not deleted")) if shards is None else shards, query, slop)
     near = near.withColumn("shard_rank", F.row_number().over(Window.orderBy("distance", "shard_id")))
+    current = latest(postings.join(F.broadcast(near.select("shard_id")), "shard_id", "left_semi")).where("not deleted")  # versions meet inside a shard
     hits = scored(current.join(F.broadcast(near), "shard_id"), query, metric)
     cap = min(max(2 * k, 50), 1000)
     best = Window.partitionBy("shard_id").orderBy(F.desc("score"), F.desc("seq"))
@@ -77,55 +81,108 @@ def search_exact(postings: DataFrame, query: list[float], k: int, metric: str =
     return hits.orderBy(F.desc("score"), "document_id", "start", "length", "seq").limit(k).select("document_id", "start", "length", "seq", "score")
 
 
-def search_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, block: int = 1024) -> DataFrame:
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows without a length stay zero, so that their cosine is 0 and their score 0.5."""
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def search_batch(vectors: DataFrame, queries: Iterable[tuple[int, list[float]]], k: int, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): the k nearest rows of vectors(id, vector) by cosine for each query, in blocks of queries.
 
     Every task scores its rows against a block of queries with one matrix product and passes on k rows a query, so that
-    rows shuffled are tasks x queries x k, whatever the table's size.
+    rows shuffled are tasks x queries x k, whatever the table's size. queries may be an iterator: the driver holds
+    one block, whose result is written before the next one is drawn.
     """
-    out = None
-    for at in range(0, len(queries), block):
-        ids = np.array([i for i, _ in queries[at : at + block]])
-        q = np.array([v for _, v in queries[at : at + block]], np.float64)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    queries, out, more = iter(queries), None, True
+    while more:
+        part = list(islice(queries, block))
+        more = len(part) == block
+        ids, q = np.array([i for i, _ in part], np.int64), unit(np.array([v for _, v in part], np.float64).reshape(len(part), -1 if part else 1))
 
         def run(parts, ids=ids, q=q):
             kept = []
             for p in parts:
-                if len(p):
-                    m = np.array(p["vector"].tolist(), np.float64)
-                    s = np.round((np.clip(m / np.linalg.norm(m, axis=1, keepdims=True) @ q.T, -1, 1) + 1) / 2, 6)
+                if len(p) and len(ids):
+                    m = unit(np.array(p["vector"].tolist(), np.float64))
+                    s = np.round((np.clip(m @ q.T, -1, 1) + 1) / 2, 6)
                     i = np.lexsort((np.broadcast_to(p["id"].to_numpy()[:, None], s.shape), -s), axis=0)[:k]
                     kept.append(pd.DataFrame({"query_id": np.tile(ids, len(i)), "id": p["id"].to_numpy()[i].ravel(), "score": np.take_along_axis(s, i, 0).ravel()}))
             yield from kept
 
         found = vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+        found = found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+        if more or out is not None:
+            found = kept_apart(found)
         out = found if out is None else out.unionByName(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return out
 
 
-def assigned(vectors: DataFrame, shards: DataFrame) -> DataFrame:
+def assigned(vectors: DataFrame, shards: DataFrame, rows: int = 1024) -> DataFrame:
     """vectors(id, vector) with the shard whose centroid is nearest (shard_id) and its distance; ties by shard_id.
 
-    Centroids go to the tasks in blocks of BLOCK, and each block's winner is kept: no pairs are emitted.
+    Centroids go to the tasks in blocks of BLOCK, and each block's winner is kept: no pairs are emitted. A task holds
+    the products of so many rows and a block at a time. Products find the candidates; the distances of those within
+    rounding of the nearest are taken anew, so that they are those of the plain formula.
     """
     shards = shards.orderBy("shard_id")
-    best, rows = vectors.withColumns({"shard_id": F.lit(None).cast("long"), "distance": F.lit(float("inf"))}), shards.toLocalIterator()
-    while block := [r for _, r in zip(range(BLOCK), rows, strict=False)]:
+    best, centres = vectors.withColumns({"shard_id": F.lit(None).cast("long"), "distance": F.lit(float("inf"))}), shards.toLocalIterator()
+    while block := list(islice(centres, BLOCK)):
         ids, c = np.array([r["shard_id"] for r in block]), np.array([r["centroid"] for r in block], np.float64)
 
-        def run(parts, ids=ids, c=c):
+        def nearest(m: np.ndarray, ids=ids, c=c) -> tuple[np.ndarray, np.ndarray]:
+            own, theirs = (m * m).sum(axis=1), (c * c).sum(axis=1)
+            rough = np.maximum(own[:, None] + theirs - 2 * m @ c.T, 0)
+            close = rough <= (np.sqrt(rough.min(axis=1)) + 2e-6)[:, None] ** 2 + 1e-9 * (own[:, None] + theirs)
+            i, j = np.nonzero(close)
+            d = np.round(np.sqrt(((m[i] - c[j]) ** 2).sum(axis=1)), 6)
+            order = np.lexsort((ids[j], d, i))
+            first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+            return ids[j[first]], d[first]
+
+        def run(parts, nearest=nearest):
             for p in parts:
                 if len(p):
                     m = np.array(p["vector"].tolist(), np.float64)
-                    d = np.round(np.sqrt(((m[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)), 6)
-                    i = d.argmin(axis=1)
-                    d = d[np.arange(len(i)), i]
+                    found = [nearest(m[at : at + rows]) for at in range(0, len(m), rows)]
+                    shard, d = (np.concatenate(x) for x in zip(*found, strict=True))
                     closer = d < p["distance"].to_numpy()
-                    p["shard_id"] = np.where(closer, ids[i], p["shard_id"].fillna(-1)).astype(np.int64)
+                    p["shard_id"] = np.where(closer, shard, p["shard_id"].fillna(-1)).astype(np.int64)
                     p["distance"] = np.where(closer, d, p["distance"])
                 yield p
 
         best = best.mapInPandas(run, best.schema)
     return best
+
+
+def split_round(rows: DataFrame, capacity: int, next_id: int, rounds: int = 2) -> DataFrame:
+    """rows(..., shard_id, vector, key) with each shard of over capacity rows in two; others keep their shard_id.
+
+    The halves begin at the row furthest from the centroid and the row furthest from that one, and move to their
+    means a few times: passes over the rows with mergeable maxima and sums, so no task holds a shard. Equal vectors,
+    and halves that stay empty, are dealt out by a hash of key. New shards are numbered from next_id.
+    """
+    size = rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > capacity)
+    order = Window.orderBy("shard_id")  # one row a shard that is split
+    size = size.select("shard_id", (F.lit(next_id) + 2 * (F.row_number().over(order) - 1)).cast("long").alias("new_id"))
+    big = rows.join(size, "shard_id")
+
+    def furthest(at: DataFrame) -> DataFrame:
+        far = F.struct(F.expr(distance("vector", "at")), "key", "vector")
+        return big.join(at, "shard_id").groupBy("shard_id").agg(F.max(far)["vector"].alias("at"))
+
+    a = furthest(centroids(big).select("shard_id", F.col("centroid").alias("at")))
+    b = furthest(a)
+    seeds = kept_apart(a.withColumnRenamed("at", "a").join(b.withColumnRenamed("at", "b"), "shard_id"))
+    nearer = f"{distance('vector', 'b')} < {distance('vector', 'a')}"
+    for _ in range(rounds):
+        sides = big.join(seeds, "shard_id").withColumn("side", F.expr(f"case when {nearer} then 'b' else 'a' end"))
+        means = centroids(sides.withColumn("shard_id", F.struct("shard_id", "side"))).select("shard_id.*", "centroid")
+        means = means.groupBy("shard_id").agg(*(F.max(F.when(F.col("side") == s, F.col("centroid"))).alias(f"new_{s}") for s in "ab"))
+        seeds = kept_apart(seeds.join(means, "shard_id").select("shard_id", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b")))
+    sides = big.join(seeds, "shard_id").withColumn("right", F.expr(nearer)).drop("a", "b")
+    even = sides.groupBy("shard_id").agg((F.min("right") == F.max("right")).alias("whole"))
+    sides = sides.join(even, "shard_id").withColumn("right", F.when(F.col("whole"), F.pmod(F.xxhash64("key"), F.lit(2)) == 1).otherwise(F.col("right")))
+    moved = sides.withColumn("shard_id", F.col("new_id") + F.col("right").cast("long")).select(*rows.columns)
+    return rows.join(size.select("shard_id"), "shard_id", "left_anti").select(*rows.columns).unionByName(moved)

@@ -9,13 +9,16 @@ from quillmesh.operators.versions import latest
 
 
 def shard_stats(postings: DataFrame, capacity: int) -> DataFrame:
-    """By shard: rows written, live latest ones, superseded or deleted ones, utilization, whether it should be split."""
+    """By shard: rows written, live latest ones, superseded or deleted ones, utilization (live rows of the capacity),
+    should_split (by the rows written, which take up its room), overfull (by utilization: the shards that an index
+    picks to split), is_full, and the room remaining."""
     total = postings.groupBy("shard_id").agg(F.count(F.lit(1)).alias("total_count"))
     live = latest(postings).where("not deleted").groupBy("shard_id").agg(F.count(F.lit(1)).alias("active_count"))
     rows = total.join(live, "shard_id", "left").withColumn("active_count", F.coalesce("active_count", F.lit(0).cast("long")))
     return rows.selectExpr(
         "shard_id", "total_count", "active_count", "total_count - active_count as inactive_count",
         f"round(active_count / {capacity}D, 6) as utilization", f"total_count >= floor(0.9 * {capacity}) as should_split",
+        f"active_count / {capacity}D >= 0.9D as overfull", f"total_count >= {capacity} as is_full", f"greatest({capacity} - total_count, 0L) as remaining",
     )
 
 
@@ -53,6 +56,15 @@ def hit_rates(metrics: DataFrame) -> DataFrame:
     )
 
 
+def per_op_latency(metrics: DataFrame) -> DataFrame:
+    """By op_type: its operations, their mean latency, and its share of all time, beside the mean over all operations."""
+    by = metrics.groupBy("op_type").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_us").alias("total_us"))
+    every = by.agg(F.sum("n").alias("all_n"), F.sum("total_us").alias("all_us"))
+    return by.join(F.broadcast(every)).selectExpr(  # one row
+        "op_type", "n", "round(total_us / n, 6) as mean_us", "round(try_divide(total_us, all_us), 6) as share", "round(all_us / all_n, 6) as overall_mean_us"
+    )
+
+
 def health(metrics: DataFrame) -> DataFrame:
     """By op_type: success rate, p95 and whether it is healthy (p95 below a second and 99 % successes)."""
     return metrics.groupBy("op_type").agg(

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from quillmesh.functions import config
 from quillmesh.functions.similarity import similarity, tier
 from quillmesh.operators import bloom, dedup, integrity, ops, predict, search, stats, texts, versions
+from quillmesh.sources import index
 from quillmesh.sources import tables as T
+from quillmesh.sources.shared import new_folder
 from quillmesh.streaming import commits
 
 #: The posting that most queries ask about, results, breadth, and rows a shard may hold.
@@ -130,24 +132,58 @@ def knn_slop_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(rows, T.vector_of(spark, sf, ASKED), K, SLOP)
 
 
-@query(f"""with {V}{Q}, {CENTROIDS}, e as (select v.*, {SCORE['cosine']} as score from v, q order by score desc, document_id, start, length, seq limit {K}),
-  n as (select shard_id, row_number() over (order by round(list_distance(centroid, qv), 6), shard_id) as r from c, q), s as (select unnest([1, 2, 3, 5, 10]) as slop)
-  select slop, round(count(e.seq) / {K}::double, 6) as recall from s left join (e join n on e.shard_id = n.shard_id) on r <= slop group by slop""")
+NEAREST = f"""e as (select vec_id as id, label::bigint as label, embedding::double[] as vector from embeddings),
+  b as (select q.id as query_id, e.id, round((greatest(-1, least(1, list_cosine_similarity(e.vector, q.vector))) + 1) / 2, 6) as score from e, e as q where q.id % 50 = 0),
+  t as (select query_id, id from b qualify row_number() over (partition by query_id order by score desc, id) <= {K}),
+  c as (select label as shard_id, list(x order by i) as centroid from (select label, i, avg(x) as x from (select label, unnest(vector) as x, generate_subscripts(vector, 1) as i from e) group by label, i) group by label),
+  r as (select e.id as query_id, c.shard_id, row_number() over (partition by e.id order by round(list_distance(c.centroid, e.vector), 6), c.shard_id) as slop from e, c where e.id % 50 = 0)"""
+
+
+def recall(shards: str) -> str:
+    return f"h as ({shards}), n as (select slop, count(*) as n from h join r on h.query_id = r.query_id and h.shard_id = r.shard_id group by 1) select slop::bigint as slop, round(sum(n) over (order by slop) / (select count(*) from t)::double, 6) as recall from n"
+
+
+def asked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All vectors, those to ask about (every id divisible by 50), and the exact nearest of these."""
+    rows = T.table(spark, sf, "embeddings").selectExpr("vec_id as id", "cast(label as bigint) as label", "transform(embedding, x -> cast(x as double)) as vector")
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    return rows, queries, search.search_batch(rows, ((r.query_id, r.vector) for r in queries.orderBy("query_id").toLocalIterator()), K)
+
+
+@query(f"with {NEAREST}, {recall('select t.query_id, e.label as shard_id from t join e on t.id = e.id')}")
 def knn_recall_by_slop(spark: SparkSession, sf: str) -> DataFrame:
-    q, rows = T.vector_of(spark, sf, ASKED), live(spark, sf)
-    best = search.scored(rows, q, "cosine").orderBy(F.desc("score"), "document_id", "start", "length", "seq").limit(K)
-    near = search.nearest_shards(search.centroids(rows), q, 1000).withColumn("r", F.row_number().over(Window.orderBy("distance", "shard_id")))
-    found = best.join(F.broadcast(near), "shard_id").select("r")
-    slops = found.select("r", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10)))).alias("slop"))
-    return slops.groupBy("slop").agg(F.round(F.count_if(F.col("r") <= F.col("slop")) / K, 6).alias("recall"))
+    """How many of the exact nearest a search of each breadth sees if shards are the labels given."""
+    rows, queries, best = asked(spark, sf)
+    shards = search.centroids(rows.withColumn("shard_id", F.col("label")))
+    return index.recall_by_slop(best.join(rows, "id").select("query_id", F.col("label").alias("shard_id")), queries, shards).selectExpr("cast(slop as bigint) as slop", "recall")
+
+
+@query(f"with {NEAREST}, a as (select e.id, c.shard_id from e, c qualify row_number() over (partition by e.id order by round(list_distance(c.centroid, e.vector), 6), c.shard_id) = 1), {recall('select t.query_id, a.shard_id from t join a on t.id = a.id')}")
+def knn_recall_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same if every posting is routed to the nearest of those centroids, as an index does."""
+    rows, queries, best = asked(spark, sf)
+    shards = search.centroids(rows.withColumn("shard_id", F.col("label")))
+    routed = search.assigned(rows.select("id", "vector"), shards).select("id", "shard_id")
+    return index.recall_by_slop(best.join(routed, "id").select("query_id", "shard_id"), queries, shards).selectExpr("cast(slop as bigint) as slop", "recall")
+
+
+@query()
+def index_tuned_search(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all embeddings with 40 shards and more, searched with the slop that tune() finds for a recall of 0.9:
+    its size and what the search sees."""
+    rows, queries, _ = asked(spark, sf)
+    at = new_folder(spark, "indexes")
+    ix = index.Index.create(spark, at, config.Config(vector_size=64, shard_size=max(1, rows.count() // 30)))
+    ix.add(rows.selectExpr("id + 1 as document_id", "0L as start", "1L as length", "vector"), flush=True)
+    slop = ix.tune(queries)
+    found = ix.recall(queries).where(F.col("slop") <= slop).agg(F.max("recall").alias("recall"))
+    return found.select(F.lit(ix.shards().count()).alias("n_shards"), F.lit(ix.postings().count()).alias("n_postings"), F.lit(slop).alias("slop"), "recall")
 
 
 @query(f"""with e as (select vec_id as id, embedding::double[] as vector from embeddings), s as (select q.id as query_id, e.id, round((greatest(-1, least(1, list_cosine_similarity(e.vector, q.vector))) + 1) / 2, 6) as score from e, e as q where q.id % 50 = 0)
   select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= {K}""")
 def knn_batch_queries(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.table(spark, sf, "embeddings").selectExpr("vec_id as id", "embedding as vector")
-    asked = [(r.id, r.vector) for r in rows.where("id % 50 = 0").orderBy("id").toLocalIterator()]
-    return search.search_batch(rows, asked, K)
+    return asked(spark, sf)[2]
 
 
 @query(f"with {V}{Q}, h as (select v.*, {SCORE['cosine']} as score from v, q) select shard_id, seq, score, row_number() over (partition by shard_id order by score desc, seq desc) as place from h qualify place <= 50")
@@ -208,6 +244,19 @@ def delete_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return versions.survivors(T.postings(spark, sf), spark.range(0, 60, 4).withColumnRenamed("id", "document_id")).select(*ROWS)
 
 
+@query(f"with {P}, d as (select p.*, row_number() over (partition by shard_id, document_id, start, length order by seq desc) = 1 as newest from p) select document_id, shard_id, seq, newest and document_id % 11 <> 0 as current from d where document_id % 4 = 0")
+def slots_of_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = versions.buried(T.postings(spark, sf), T.deletes(spark, sf))
+    return versions.slots_of(rows, spark.range(0, 60, 4).withColumnRenamed("id", "document_id"))
+
+
+@query(f"with {P} select document_id, start, length, seq from p where shard_id = (select shard_id from p where seq = {ASKED}) and seq = {ASKED}")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.postings(spark, sf)
+    shard = rows.where(F.col("seq") == ASKED).first().shard_id
+    return versions.point_lookup(rows, shard, ASKED).select("document_id", "start", "length", "seq")
+
+
 @query(f"with {P} select distinct document_id, shard_id from p where document_id % 4 = 0")
 def exact_candidate_shards(spark: SparkSession, sf: str) -> DataFrame:
     return versions.candidate_shards(T.postings(spark, sf), spark.range(0, 60, 4).withColumnRenamed("id", "document_id"))
@@ -240,7 +289,7 @@ def furthest_pair_per_shard(spark: SparkSession, sf: str) -> DataFrame:
 STATS = "s as (select p.shard_id, count(*) as total_count, (select count(*) from v where v.shard_id = p.shard_id) as active_count from p group by 1)"
 
 
-@query(f"with {V}, {STATS} select shard_id, total_count, active_count, total_count - active_count as inactive_count, round(active_count / {CAPACITY}::double, 6) as utilization, total_count >= floor(0.9 * {CAPACITY}) as should_split from s")
+@query(f"with {V}, {STATS} select shard_id, total_count, active_count, total_count - active_count as inactive_count, round(active_count / {CAPACITY}::double, 6) as utilization, total_count >= floor(0.9 * {CAPACITY}) as should_split, active_count / {CAPACITY}::double >= 0.9 as overfull, total_count >= {CAPACITY} as is_full, greatest({CAPACITY} - total_count, 0) as remaining from s")
 def shard_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.shard_stats(versions.buried(T.postings(spark, sf), T.deletes(spark, sf)), CAPACITY)
 
@@ -250,9 +299,11 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.index_stats(versions.buried(T.postings(spark, sf), T.deletes(spark, sf)), CAPACITY, 64)
 
 
-@query(f"with {V}, {STATS} select shard_id, round(active_count / {CAPACITY}::double, 6) as utilization from s where total_count >= floor(0.9 * {CAPACITY})")
+@query(f"with {V}, {STATS} select shard_id, round(active_count / {CAPACITY}::double, 6) as utilization, row_number() over (order by active_count desc, shard_id) as place from s where active_count / {CAPACITY}::double >= 0.9")
 def shards_to_split(spark: SparkSession, sf: str) -> DataFrame:
-    return shard_stats(spark, sf).where("should_split").select("shard_id", "utilization")
+    """The fullest first, by live rows."""
+    rows = shard_stats(spark, sf).where("overfull").select("shard_id", "utilization")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("utilization"), "shard_id")).cast("long"))  # one row a shard
 
 
 @query(f"with {V}, {STATS} select shard_id, round(active_count / {CAPACITY}::double, 6) as utilization from s where round(active_count / {CAPACITY}::double, 6) < 0.8 and total_count > 0")
@@ -334,9 +385,13 @@ def op_size_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return ops.sized(T.operations(spark, sf)).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query(f"with {O}, b as (select txn_id, (row_number() over (partition by txn_id order by op_ordinal) - 1) // 64 as batch, {BYTES} as bytes from o) select txn_id, batch::bigint as batch, count(*) as n_ops, sum(bytes)::bigint as bytes from b group by 1, 2")
+@query(f"""with recursive {O}, z as (select txn_id, {BYTES} as bytes, row_number() over (partition by txn_id order by op_ordinal) as i from o),
+  w as (select txn_id, i, 0::bigint as batch, 1::bigint as n, bytes::bigint as total from z where i = 1
+    union all select z.txn_id, z.i, w.batch + (w.n >= 64 or w.total > 40000)::bigint, case when w.n >= 64 or w.total > 40000 then 1 else w.n + 1 end, case when w.n >= 64 or w.total > 40000 then z.bytes else w.total + z.bytes end
+    from w join z on z.txn_id = w.txn_id and z.i = w.i + 1)
+  select txn_id, batch, max(n) as n_ops, max(total) as bytes from w group by 1, 2""")
 def batch_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.batches(T.operations(spark, sf), 64)
+    return ops.batches(T.operations(spark, sf), 64, 40_000)
 
 
 @query(f"with {O}, f as (select case when document_id is null or document_id = 0 then 'no document id' when op = 'add_posting' and length <= 0 then 'length is zero' when op = 'store_text' and octet_length(encode(text)) > 4000 then 'text too long' end as fault from o) select coalesce(fault, 'fine') as fault, count(*) as n from f group by 1")
@@ -355,6 +410,11 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return stats.latency_percentiles(T.metrics(spark, sf))
 
 
+@query(f"with {M} select op_type, count(*) as n, round(sum(latency_us) / count(*)::double, 6) as mean_us, round(sum(latency_us) / (select sum(latency_us) from m)::double, 6) as share, (select round(sum(latency_us) / count(*)::double, 6) from m) as overall_mean_us from m group by 1")
+def per_op_latency(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.per_op_latency(T.metrics(spark, sf))
+
+
 @query(f"with {M}, w as (select max(ts) as newest from m) select count(*) as n_ops, round(count(*) / 3600::double, 6) as ops_per_second from m, w where ts > newest - interval 3600 seconds")
 def throughput_last_hour(spark: SparkSession, sf: str) -> DataFrame:
     return stats.throughput(T.metrics(spark, sf), 3600)
@@ -394,10 +454,26 @@ def cross_reference_issues(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.cross_references(rows.where("seq % 3 <> 0"), rows.where("seq % 5 <> 0"))
 
 
-@query("with i as (select * from (values ('vectors', 'nan', 0.8::double), ('vectors', 'zero', 0.6), ('postings', 'header', 0.95), ('postings', 'zero lengths', 0.4)) as t(component, issue, severity)) select *, severity > 0.9 as blocking, case when severity > 0.9 then 1 when severity >= 0.7 then 2 when severity >= 0.5 then 3 else 4 end as priority from i")
+ISSUES = f"""i as (select kind, (vec_id % 20) / 20::double as severity, vec_id % 3 > 0 as recoverable, vec_id from (select vec_id, ['header', 'data', 'truncation', 'structure', 'cross_validation', 'partial'][1 + vec_id % 6] as kind from embeddings))"""
+RANKED = """k as (select *, case when kind in ('header', 'structure') then 1 when kind in ('cross_validation', 'truncation') then 2 when kind = 'data' then (case when severity > 0.8 then 1 else 2 end) else (case when severity > 0.5 then 3 else 4 end) end as priority,
+  kind in ('header', 'structure') or severity > 0.9 as blocking, case kind when 'header' then 5 when 'truncation' then 5 when 'structure' then 4 when 'cross_validation' then 3 else 2 end as difficulty,
+  kind in ('data', 'partial', 'cross_validation') and recoverable as auto_repairable from i)"""
+
+
+def issues(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = ", ".join(f"'{c[0]}'" for c in integrity.CORRUPTIONS)
+    rows = T.table(spark, sf, "embeddings").selectExpr("vec_id", f"array({kinds})[vec_id % 6] as kind", "vec_id % 20 / 20D as severity", "vec_id % 3 > 0 as recoverable")
+    return integrity.ranked_issues(rows)
+
+
+@query(f"with {ISSUES}, {RANKED} select vec_id, kind, severity, recoverable, priority, blocking, difficulty, auto_repairable from k")
 def issue_priority(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("vectors", "nan", 0.8), ("vectors", "zero", 0.6), ("postings", "header", 0.95), ("postings", "zero lengths", 0.4)]
-    return integrity.ranked_issues(spark.createDataFrame(rows, "component string, issue string, severity double"))
+    return issues(spark, sf)
+
+
+@query(f"with {ISSUES}, {RANKED} select count(*) as n_issues, count(*) filter (where blocking) as n_blocking, count(*) filter (where auto_repairable) as n_auto_repairable, max(severity) as worst, min(priority) as first_priority, false as valid from k")
+def integrity_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return integrity.integrity_summary(issues(spark, sf))
 
 
 USER = 8

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quillmesh.operators.ops import unprocessed
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{at}/streams/{uuid.uuid4().hex}"
+from quillmesh.sources.shared import new_folder
 
 
 def commit(batch: DataFrame, batch_id: int, target: str) -> None:
-    """Append a micro-batch under its own number. A batch that is tried again replaces its own files, and transactions
-    that an earlier batch has committed are left out, so that every transaction is applied once."""
-    spark = batch.sparkSession
-    earlier = None
-    if batch_id > 0:
-        earlier = spark.read.parquet(target).where(f"batch < {batch_id}").select("txn_id")
-    rows = batch.dropDuplicates(["txn_id", "op_ordinal"]) if earlier is None else unprocessed(batch, earlier)
+    """Append a micro-batch under its own number. A batch that is tried again replaces its own files, and operations
+    (txn_id, op_ordinal) that an earlier batch has committed are left out, so that every operation is applied once,
+    also where a transaction's operations come in several batches. Of earlier batches, the files whose range of
+    txn_id meets the batch's are read, and the two key columns alone."""
+    key = ["txn_id", "op_ordinal"]
+    rows = batch.dropDuplicates(key)
+    if batch_id > 0 and (ends := batch.agg(F.min("txn_id").alias("low"), F.max("txn_id").alias("high")).first()).low is not None:
+        earlier = batch.sparkSession.read.parquet(target).where((F.col("batch") < batch_id) & F.col("txn_id").between(ends.low, ends.high))
+        rows = rows.join(earlier.select(*key), key, "left_anti")
     rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
 
@@ -35,9 +29,9 @@ def start(spark: SparkSession, source: str, schema, target: str, checkpoint: str
 
 
 def replayed(operations: DataFrame) -> DataFrame:
-    """operations after a trip through the stream, with every file delivered twice."""
-    spark, at = operations.sparkSession, scratch(operations.sparkSession)
-    for part in ("a", "b"):
-        operations.repartition(4, "txn_id").write.mode("append").parquet(f"{at}/in")
+    """operations after a trip through the stream, each delivered twice; the files cut transactions apart."""
+    spark, at = operations.sparkSession, new_folder(operations.sparkSession, "streams")
+    for seed in ("a", "b"):
+        operations.repartition(4, F.xxhash64("txn_id", "op_ordinal", F.lit(seed))).write.mode("append").parquet(f"{at}/in")
     start(spark, f"{at}/in", operations.schema, f"{at}/out", f"{at}/state", files=2).awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("batch")

@@ -1,8 +1,11 @@
 """Semantic anchors of versions, deletes, splits and dedup."""
 
+import numpy as np
 import pytest
 
+from quillmesh.functions.similarity import METRICS, similarity
 from quillmesh.operators import dedup, search, versions
+from quillmesh.streaming import commits
 
 P = "shard_id long, document_id long, start long, length long, seq long, vector array<double>, deleted boolean"
 
@@ -42,11 +45,54 @@ def test_policies(spark):
     assert kept == {"none": [1, 2, 3, 4], "by_document": [2], "by_position": [1, 3], "exact": [1, 2, 3]}
 
 
-def test_pruned_search_finds_much_of_the_exact_result(spark):
+def test_unlike_dimensions_are_an_error(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<double>, b array<double>")
+    for metric in METRICS:
+        with pytest.raises(Exception, match="vectors of 2 and 1"):
+            df.selectExpr(similarity(metric, "a", "b")).collect()
+
+
+def test_zero_vectors_score_a_half(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, vector array<double>")
+    got = {(r.query_id, r.id): r.score for r in search.search_batch(df, [(7, [1.0, 0.0]), (8, [0.0, 0.0])], 5, block=1).collect()}
+    assert got == {(7, 1): 0.5, (7, 2): 1.0, (8, 1): 0.5, (8, 2): 0.5}
+    assert search.search_batch(df, [], 5).collect() == []
+
+
+def test_assignment_in_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    v, c = rnd.normal(size=(60, 4)), rnd.normal(size=(11, 4))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    shards = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "shard_id long, centroid array<double>")
+    monkeypatch.setattr(search, "BLOCK", 3)
+    got = {r.id: r.shard_id for r in search.assigned(vectors, shards, rows=7).collect()}
+    assert got == {i: int(((x - c) ** 2).sum(axis=1).argmin()) for i, x in enumerate(v)}
+
+
+def test_the_furthest_pair_over_several_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(50, 3)).round(1)
+    df = spark.createDataFrame([(0, i, 0, 5, i, x.tolist(), False) for i, x in enumerate(v)], P)
+    monkeypatch.setattr(versions, "BLOCK", 8)
+    every = [(round(float(np.sqrt(((v[i] - v[j]) ** 2).sum())), 6), i, j) for i in range(50) for j in range(i)]
+    row = versions.furthest_pairs(df).first()
+    assert (row.distance, row.seq_a, row.seq_b) == max(every)
+
+
+def test_a_transaction_over_several_micro_batches(spark, tmp_path):
+    at, kind = str(tmp_path), "txn_id long, op_ordinal long, x string"
+    for batch, rows in enumerate([[(1, 0, "a"), (1, 1, "b"), (1, 1, "b")], [(1, 2, "c"), (1, 1, "b"), (2, 0, "d")], []]):
+        for _ in range(2):  # a batch is tried again
+            commits.commit(spark.createDataFrame(rows, kind), batch, at)
+    assert sorted((r.txn_id, r.op_ordinal) for r in spark.read.parquet(at).collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+def test_the_recall_of_routed_shards(spark):
     from quillmesh.plans import catalogue
 
-    recall = {r.slop: r.recall for r in catalogue.QUERIES["knn_recall_by_slop"](spark, "/root/testdata/sf0.001").collect()}
-    assert recall[10] == 1.0 and all(recall[a] <= recall[b] for a, b in zip((1, 2, 3, 5), (2, 3, 5, 10), strict=True))
+    for name in ("knn_recall_by_slop", "knn_recall_routed"):
+        recall = {r.slop: r.recall for r in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+        assert max(recall.values()) == 1.0 and [recall[s] for s in sorted(recall)] == sorted(recall.values())
 
 
 def test_bloom_filters_miss_no_shard(spark):

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.sources.shared import new_folder, removed, shared_dir
+
 #: Rows in one Arrow batch: texts can be very long, so a batch holds few of them.
 BATCH_ROWS = 256
 
@@ -19,23 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker holds: at most BATCH_ROWS texts at a time."""
+    """Bound what one Python worker holds: at most BATCH_ROWS texts at a time; Spark itself ends a batch after 64 MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset (local runs)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more: it does so when their objects are
     collected, which a driver with little to do puts off."""
@@ -56,7 +45,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for what is large or is read by columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = new_folder(spark, "tables")
     schema = df.schema
     df.write.parquet(path)
     del df
@@ -69,8 +58,7 @@ def written(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of written() from which nothing is left to compute."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, df.table_path)
 
 
 def components(edges: DataFrame) -> DataFrame:

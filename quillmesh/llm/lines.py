@@ -86,12 +86,18 @@ def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(every)
 
     rows = sets.near_rows(classes)
+    fat, classes = classes, written(classes.drop("size", "bits", "prefix"))
+    discard(fat)
     near = written(classes.select("id", "doc_id", "line", "text_hash").join(rows.select("id").distinct(), "id", "left_semi"))
     texts = written(line_texts(docs, near, rank))
-    signed = written(rows.join(near, "id").join(texts.drop("words"), "id"))
-    found = None
-    for share in sets.shares(rows):
-        left = signed if found is None else signed.join(found, "id", "left_anti")
+    place = F.struct("doc_id", "line", "text_hash")
+    placed = written(rows.join(near, "id"))
+    lists = checkpoint(placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"))
+    signed = written(placed.join(lists, "word").withColumn("later", place > F.col("first")).drop("first").join(texts.drop("words"), "id"))
+    discard(rows, placed)
+    found, later = None, signed.where("later")  # the first row of a list has no earlier partner in it
+    for share in sets.shares(lists.agg(F.max("n")).first()[0] or 0):
+        left = later if found is None else later.join(found, "id", "left_anti")
         some = sets.pairs(left, signed, EARLIER, share, ["a.id as id1", "b.id as id2"])
         some = some.groupBy("id1").agg(F.min_by("id2", "differ").alias("id2")) if share > 1 else some.select("id1", "id2").distinct()
         more = verified(checkpoint(some), texts)
@@ -99,7 +105,7 @@ def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = classes.join(found.withColumn("matches", F.lit(True)), "id", "left")
     out = out.selectExpr("sig", "sig2", "doc_id as first_doc", "line as first_line", "text_hash as first_hash", "n", "coalesce(matches, false) as matches")
     out = written(out)
-    discard(classes, rows, near, texts, signed)
+    discard(classes, near, texts, signed)
     return lines, out
 
 

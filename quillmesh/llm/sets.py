@@ -159,18 +159,19 @@ MAY_MATCH = "5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size) and 9 * l
 DIFFER = " + ".join(f"bit_count(a.s{i} ^ b.s{i})" for i in range(LONGS))
 
 
-def near_rows(sets: DataFrame) -> DataFrame:
+def near_rows(sets: DataFrame, apart: str = "id") -> DataFrame:
     """(id, word, pos, size) for the prefix members that another of sets(id, size, bits, prefix) shares and that pass
-    the length, positional and bit filters: a semi-join, so no pairs are made."""
-    rows = sets.select("id", "size", "bits", F.posexplode("prefix").alias("pos", "word"))  # one plan on both sides: dealt out once
-    on = F.expr(f"a.word = b.word and a.id <> b.id and {MAY_MATCH} and 9 * bit_count(a.bits ^ b.bits) <= a.size + b.size")
-    return written(rows.alias("a").join(rows.alias("b"), on, "left_semi").select("id", "word", "pos", "size"))
+    the length, positional and bit filters: a semi-join, so no pairs are made. Sets with an equal column apart don't
+    count as others; it is returned too."""
+    own = list(dict.fromkeys(["id", apart]))
+    rows = sets.select(*own, "size", "bits", F.posexplode("prefix").alias("pos", "word"))  # both sides alike: dealt out once
+    on = F.expr(f"a.word = b.word and a.{apart} <> b.{apart} and {MAY_MATCH} and 9 * bit_count(a.bits ^ b.bits) <= a.size + b.size")
+    return written(rows.alias("a").join(rows.alias("b"), on, "left_semi").select(*own, "word", "pos", "size"))
 
 
-def shares(rows: DataFrame) -> list[int]:
-    """The rounds of a join over rows(word, ...): in each, one in so many sets takes part as a partner, in the last one
-    all do. In the first, the longest list of a word has about STEP partners."""
-    most = rows.groupBy("word").count().agg(F.max("count")).first()[0] or 0
+def shares(most: int) -> list[int]:
+    """The rounds of a join over lists of up to most rows: in each, one in so many sets takes part as a partner, in the
+    last one all do. In the first, the longest list has about STEP partners."""
     out = [1]
     while out[0] * STEP < most:
         out.insert(0, out[0] * STEP)
@@ -180,9 +181,10 @@ def shares(rows: DataFrame) -> list[int]:
 def pairs(rows: DataFrame, partners: DataFrame, on: str, share: int, columns: list[str]) -> DataFrame:
     """(columns..., differ) of the rows and partners that pass all filters, of one in share partners.
 
+    rows have n, the length of their word's list; but in the last round the lists of more than share rows alone count.
     What has found its match in an earlier round no longer takes part, so that a family of n sets that match each
     other makes about n pairs and not their square; the last round meets all partners, so that no match is lost.
     """
     some = partners.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     on = F.expr(f"a.word = b.word and ({on}) and {MAY_MATCH} and 9 * ({DIFFER}) <= a.size + b.size")
-    return rows.alias("a").join(some.alias("b"), on).selectExpr(*columns, f"{DIFFER} as differ")
+    return rows.where(F.col("n") > (share if share > 1 else 0)).alias("a").join(some.alias("b"), on).selectExpr(*columns, f"{DIFFER} as differ")

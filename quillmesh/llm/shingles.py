@@ -6,27 +6,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sets
 from .common import checkpoint, components, discard, small_batches, written
-from .decontamination import grams
-from .lines import SKETCH, SKETCH_BITS, sums
 from .simhash import simhash
 
-#: The order of shingles by rarity comes from one text in so many; any common order gives right results.
-ORDER_SHARE = 4
-#: Length and positional filters on two rows of one prefix shingle: 4/5 or more means 9 shared >= 4 (size1 + size2).
-MAY_MATCH = "5 * least({a}.size, {b}.size) >= 4 * greatest({a}.size, {b}.size) and 9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size)"
 
+def shingles_of(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text (its place in the array) and hash of each shingle of so many words; a text of fewer is one shingle, one
+    without words has none."""
+    text, _, h = sets.words_of(texts)
+    first = np.searchsorted(text, np.arange(len(texts)))
+    n = np.bincount(text, minlength=len(texts))
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """A hash of each different shingle, sorted; a text of fewer words is one shingle, one without words has none."""
-    w = text.lower().split()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    return np.unique(grams(h, min(words, len(w)))) if w else h
+    def hashed(at: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            out = sets.mixed(out ^ h[at + i])
+        return out
+
+    at = np.arange(max(0, len(h) - words + 1))
+    at = at[text[at] == text[at + words - 1]]
+    of, found = [text[at]], [hashed(at, words)]
+    for k in range(1, words):
+        short = np.flatnonzero(n == k)
+        of.append(short), found.append(hashed(first[short], k))
+    of, found = np.concatenate(of), np.concatenate(found)
+    order = np.argsort(of, kind="stable")
+    return of[order], found[order]
 
 
 def shingle_set(text: bytes, words: int) -> set[tuple[bytes, ...]]:
@@ -35,49 +45,51 @@ def shingle_set(text: bytes, words: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[i : len(w) - n + 1 + i] for i in range(n)), strict=True))
 
 
-def ranks(docs: DataFrame, words: int) -> np.ndarray:
-    """The place of each counter in the order of shingles, the rarest first; SKETCH rows at most come to the driver."""
+def described(texts: pa.Array, words: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that have shingles, and their sets as as_sets() in sets."""
+    of, h = shingles_of(texts, words)
+    return (np.unique(of), *sets.as_sets(of, h, rank))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                np.add.at(total, (shingle_hashes(t or b"", words) & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
-    rows = some.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    n, out = np.zeros(SKETCH, np.int64), np.empty(SKETCH, np.uint64)
-    n[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    out[np.argsort(n, kind="stable")] = np.arange(SKETCH, dtype=np.uint64)
-    return out
-
-
-def keyed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, fp, sig, sig2, size, prefix) for each row of docs: the SimHash, two sums of 64 bits that are
-    equal for equal sets of shingles, the set's size, and the prefix, of which any match shares a shingle."""
+
+def ranked(docs: DataFrame, words: int) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(sets.ranked(docs, lambda texts: shingles_of(texts, words)[1]))
+
+
+def keyed(docs: DataFrame, words: int, rank: Broadcast) -> DataFrame:
+    """(doc_id, text_hash, fp) for each row of docs, fp the SimHash, and its set of shingles as described() in sets; the
+    set's columns are null without a word."""
     small_batches(docs.sparkSession)
-    rank: Broadcast = docs.sparkSession.sparkContext.broadcast(ranks(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sig, sig2, size, prefix = [], [], [], [], []
-            for t in b.column(2).cast(pa.binary()).to_pylist():
-                fps.append(simhash(t or b"", words))
-                h = shingle_hashes(t or b"", words)
-                n = len(h)
-                one, two = (int(x[0]) for x in sums(h, np.zeros(1, np.int64))) if n else (0, 0)
-                number = np.sort(rank.value[(h & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(64 - SKETCH_BITS) | h >> np.uint64(SKETCH_BITS))
-                sig.append(one), sig2.append(two), size.append(n), prefix.append(number[: n - -(-4 * n // 5) + 1].view(np.int64))
-            ints = [pa.array(x, pa.int64()) for x in (fps, sig, sig2)]
-            arrays = [b.column(0), b.column(1), *ints, pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "fp", "sig", "sig2", "size", "prefix"])
-
-    kind = "doc_id long, text_hash long, fp long, sig long, sig2 long, size int, prefix array<long>"
+            fps = pa.array([simhash(t or b"", words) for t in b.column(2).cast(pa.binary()).to_pylist()], pa.int64())
+            of, at, number = described(b.column(2), words, rank.value)
+            place = np.full(b.num_rows, -1)
+            place[of] = np.arange(len(of))
+            place = pa.array(place, mask=place < 0)
+            found = sets.described(at, number) if len(of) else {}
+            columns = [x.take(place) if found else None for x in found.values()]
+            if not found:
+                columns = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, *columns], ["doc_id", "text_hash", "fp", "sig", "sig2", "size", "bits", "prefix"])
+
+    kind = f"doc_id long, text_hash long, fp long, {sets.SETS}"
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, kind)
 
 
+def near_texts(docs: DataFrame, ids: DataFrame, words: int, rank: Broadcast) -> DataFrame:
+    """(id, text, signature) for ids(id, key_id, key_hash): whole texts, of those with a possible match alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, at, number = described(b.column(1), words, rank.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sets.signatures(at, number)], ["id", "text", *(f"s{i}" for i in range(sets.LONGS))])
+
+    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.xxhash64("text") == F.col("key_hash"))
+    rows = docs.select("doc_id", "text").join(ids, same).select("id", "text")
+    return rows.mapInArrow(run, f"id long, text string, {sets.SIGNATURE}").dropDuplicates(["id"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(src, dst): the components of the pairs (id1, comp1, id2, comp2) whose sets of shingles really match."""
 
@@ -89,54 +101,62 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 yes.append(9 * len(s & t) >= 4 * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(yes, pa.bool_()))
 
-    a, b = (texts.select(F.col("id").alias(f"id{n}"), F.col("text").alias(f"text{n}")) for n in "12")
-    both = pairs.join(a, "id1").join(b, "id2").select("comp1", "comp2", "text1", "text2")
+    texts = texts.select("id", "text")  # under one name on both sides: dealt out once
+    both = pairs.join(texts.alias("a"), F.expr("id1 = a.id")).join(texts.alias("b"), F.expr("id2 = b.id")).selectExpr("comp1", "comp2", "a.text as text1", "b.text as text2")
     return both.mapInArrow(run, "src long, dst long").distinct()
 
 
-def apart(rows: DataFrame, *more: Column) -> DataFrame:
-    """(word, ...) for the prefix shingles that stand in more than one component."""
-    ends = rows.groupBy("word").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *more)
-    return ends.where("low <> high").drop("low", "high")
+def across(signed: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The rows of signed under the components that the edges found make, with n, the length of their word's list, for
+    the words that stand in more than one component; a written table."""
+    if found is not None:
+        roots = components(found).select(F.col("node").alias("comp"), "root")
+        signed = signed.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    lists = signed.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return written(signed.join(checkpoint(lists.where("low <> high").select("word", "n")), "word"))
+
 
+def connected(rows: DataFrame, texts: DataFrame, words: int, share: int, found: DataFrame | None) -> DataFrame:
+    """The edges found and those that a round of the join adds. Nothing that it has dealt out is held any longer."""
 
-def similar(docs: DataFrame, keys: DataFrame, edges: DataFrame, words: int) -> DataFrame:
+    def candidates() -> DataFrame:
+        columns = ["a.id as id1", "a.comp as comp1", "b.id as id2", "b.comp as comp2"]
+        pairs = sets.pairs(rows, rows, "a.comp <> b.comp" if share > 1 else "a.comp < b.comp", share, columns)
+        if share == 1:
+            return pairs.drop("differ").distinct()
+        return pairs.groupBy("id1", "comp1").agg(F.min_by(F.struct("id2", "comp2"), "differ").alias("b")).select("id1", "comp1", "b.*")
+
+    more = verified(checkpoint(candidates()), texts, words)
+    return more if found is None else found.unionByName(more)
+
+
+def similar(docs: DataFrame, keys: DataFrame, edges: DataFrame, words: int, rank: Broadcast) -> DataFrame:
     """Edges (src, dst) between fingerprints that, with the edges given, connect all rows of docs whose sets of
-    shingles have a Jaccard similarity of 0.8 or more. keys is keyed(docs, words), written.
+    shingles have a Jaccard similarity of 0.8 or more. keys is keyed(docs, words, rank), written.
 
-    Rows with equal sets are one class. A pair inside a component adds nothing, so a shingle whose classes all lie in
-    one component is left out. Each class is first verified against one likely partner, of the first and last
-    class of its shingles that for most of them; what this connects is left out in turn, and only then
-    all pairs that are left are made. So a family of near copies of one text makes about as many pairs as it has members.
+    Rows with equal sets are one class. A pair inside a component adds nothing. A semi-join finds the classes with a
+    possible match in another component. In each round (sets.pairs) a class is verified against its closest partner
+    that takes part, and what this connects is one component in the next; in the last one all pairs between
+    components that are left are verified. So a family of near copies makes about as many pairs as it has members.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp", "size", "prefix")).alias("first")
-    sets = keys.where("size > 0")
-    classes = written(sets.groupBy("sig", "sig2").agg(first).select("sig", "sig2", "first.*", F.monotonically_increasing_id().alias("id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fp", "size", "bits", "prefix")).alias("first")
+    some = keys.where("size is not null")
+    classes = written(some.groupBy("sig", "sig2").agg(first).select("sig", "sig2", "first.*", F.monotonically_increasing_id().alias("id")))
     base = classes.select("sig", "sig2", F.col("fp").alias("src"))
-    equal = sets.select("sig", "sig2", F.col("fp").alias("dst")).distinct().join(base, ["sig", "sig2"]).where("src <> dst").select("src", "dst")
+    equal = some.select("sig", "sig2", F.col("fp").alias("dst")).distinct().join(base, ["sig", "sig2"]).where("src <> dst").select("src", "dst")
     edges = checkpoint(edges.unionByName(equal))
     roots = components(edges).select(F.col("node").alias("fp"), "root")
-    rows = classes.join(roots, "fp", "left").select("id", F.coalesce("root", "fp").alias("comp"), "size", F.posexplode("prefix").alias("pos", "word"))
-    rows = written(rows)
-    one = F.struct("id", "comp", "size", "pos")
-    shared = written(apart(rows, F.array(F.min(one), F.max(one)).alias("ends")))
-    near = written(rows.join(shared.select("word"), "word"))
-
-    ids = checkpoint(near.select("id").distinct()).join(classes, "id")
-    ids = ids.select("id", F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.xxhash64("text") == F.col("key_hash"))
-    texts = written(docs.select("doc_id", "text").join(ids, same).select("id", "text").dropDuplicates(["id"]))
-
-    likely = near.join(shared, "word").select(one.alias("a"), F.explode("ends").alias("b")).where("a.comp <> b.comp and " + MAY_MATCH.format(a="a", b="b"))
-    likely = likely.groupBy("a.id", "a.comp", F.col("b.id").alias("id2"), F.col("b.comp").alias("comp2")).count()
-    likely = likely.groupBy(F.col("id").alias("id1"), F.col("comp").alias("comp1")).agg(F.max_by(F.struct("id2", "comp2"), "count").alias("b"))
-    found = checkpoint(verified(checkpoint(likely.select("id1", "comp1", "b.*")), texts, words))
-
-    roots = components(found).select(F.col("node").alias("comp"), "root")
-    rest = near.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"), "size", "pos", "word")
-    left = written(rest.join(checkpoint(apart(rest)), "word", "left_semi"))
-    pairs = left.alias("a").join(left.alias("b"), F.expr("a.word = b.word and a.comp < b.comp and " + MAY_MATCH.format(a="a", b="b")))
-    pairs = pairs.selectExpr("a.id as id1", "a.comp as comp1", "b.id as id2", "b.comp as comp2").distinct()
-    more = checkpoint(verified(checkpoint(pairs), texts, words))
-    discard(classes, rows, shared, near, texts, left)
-    return edges.unionByName(found).unionByName(more)
+    rows = sets.near_rows(classes.join(roots, "fp", "left").withColumn("comp", F.coalesce("root", "fp")), "comp")
+    ids = checkpoint(rows.select("id").distinct()).join(classes, "id").select("id", F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+    texts = written(near_texts(docs, ids, words, rank))
+    signed = written(rows.join(texts.drop("text"), "id"))
+    discard(classes, rows)
+
+    found = None
+    most = signed.groupBy("word").count().agg(F.max("count")).first()[0] or 0
+    for share in sets.shares(most):
+        now = across(signed, found)
+        found = checkpoint(connected(now, texts, words, share, found))
+        discard(now)
+    discard(texts, signed)
+    return edges.unionByName(found)

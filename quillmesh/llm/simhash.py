@@ -65,31 +65,35 @@ def cells(at: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def linked(fps: DataFrame) -> DataFrame:
-    """The fingerprints (fp, all different) that link to another one.
+def grid(fps: DataFrame) -> DataFrame:
+    """(fp, cell) for the grid cells within Manhattan distance 1 of each fingerprint's popcounts.
 
     Moving one bit moves one popcount by one, so the Manhattan distance of two embeddings is a lower bound of the
-    differing bits: two fingerprints within 2 bits have a grid cell within distance 1 of both. The semi-join on
-    that cell verifies the exact distance and keeps the rows that have a link, never the pairs.
+    differing bits: two fingerprints within 2 bits have a grid cell within distance 1 of both.
     """
-    grid = fps.select("fp", popcounts(F.col("fp")).alias("at")).select("fp", F.explode(cells(F.col("at"))).alias("cell"))
-    differ = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
-    on = (F.col("a.cell") == F.col("b.cell")) & (differ > 0) & (differ <= MAX_BITS)
-    return grid.alias("a").join(grid.alias("b"), on, "left_semi").select("fp").distinct()  # one plan on both sides: dealt out once
+    return fps.select("fp", popcounts(F.col("fp")).alias("at")).select("fp", F.explode(cells(F.col("at"))).alias("cell"))
+
+
+DIFFER = "bit_count(a.fp ^ b.fp)"
+
+
+def linked(fps: DataFrame) -> DataFrame:
+    """The fingerprints (fp, all different) that link to another one: a semi-join on the cells that verifies the exact
+    distance and keeps the rows that have a link, never the pairs."""
+    cells = grid(fps)  # one plan on both sides: dealt out once
+    on = F.expr(f"a.cell = b.cell and {DIFFER} between 1 and {MAX_BITS}")
+    return cells.alias("a").join(cells.alias("b"), on, "left_semi").select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (src, dst) that connect what the exact links connect, without the pairs of a group.
+    """Edges (src, dst) between fingerprints that link, by the range join on the cells and the exact distance.
 
-    Fingerprints within 2 bits have one within 1 bit of both; at most 65 lie within 1 bit of any, so a group here
-    has 65 members at most, whatever the data, and each is tied to the group's smallest.
+    fps are those of linked(). A fingerprint has at most 2,080 others within 2 bits, so a group of n has no more than
+    that many times n edges, whatever the data.
     """
-    fp = F.col("fp")
-    flips = [fp.bitwiseXOR(F.lit((1 << i) if i < 63 else -(1 << 63))) for i in range(64)]
-    balls = fps.select("fp", F.explode(F.array(fp, *flips)).alias("mid"))
-    stars = balls.groupBy("mid").agg(F.collect_list("fp").alias("near")).where("size(near) > 1")
-    ties = stars.select(F.array_min("near").alias("src"), F.explode("near").alias("dst"))
-    return ties.where("src <> dst").distinct()
+    cells = grid(fps)
+    on = F.expr(f"a.cell = b.cell and a.fp < b.fp and {DIFFER} <= {MAX_BITS}")
+    return cells.alias("a").join(cells.alias("b"), on).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -133,10 +137,11 @@ def keep_one(docs: DataFrame, words: int = 3, jaccard: bool = False) -> DataFram
     """
     from . import shingles  # it uses the fingerprints of this module
 
-    keys = written(shingles.keyed(docs, words) if jaccard else keyed(docs, words))
+    rank = shingles.ranked(docs, words) if jaccard else None
+    keys = written(shingles.keyed(docs, words, rank) if jaccard else keyed(docs, words))
     edges = links(checkpoint(linked(checkpoint(keys.select("fp").distinct()))))
     if jaccard:
-        edges = shingles.similar(docs, keys, edges, words)
+        edges = shingles.similar(docs, keys, edges, words, rank)
     rows = keys.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = rows.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n_rows")).alias("first")

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline as P
 from quillmesh.llm import shingles
 from tests.llm.test_simhash import fingerprint
@@ -58,5 +60,26 @@ def test_null_ids_and_empty_table(spark):
 
 
 def test_sets_of_hashes_are_those_of_shingles():
-    for text in ("", "a", "a b c d e", "a b c d e f a b c d e", "x " * 50):
-        assert len(shingles.shingle_hashes(text.encode(), 5)) == len(shingles.shingle_set(text.encode(), 5)) == len(grams(text))
+    texts = ["", "a", "a b c d e", None, "A b\nc  d e f a b c d e", "x " * 50, "é ü", "y" * 1000 + " z", "last word\t"]
+    of, h = shingles.shingles_of(pa.array(texts, pa.string()), 5)
+    for i, text in enumerate(texts):
+        own = set(h[of == i].tolist())
+        assert len(own) == len(shingles.shingle_set((text or "").encode(), 5)) == len(grams(text))
+    of, h = shingles.shingles_of(pa.array(["skipped", *texts, "p q r s t", "P q r s T"], pa.string()).slice(1), 5)
+    assert set(h[of == 9].tolist()) == set(h[of == 10].tolist()) and of.max() == 10
+    assert len(shingles.shingles_of(pa.array([], pa.string()), 5)[0]) == 0
+
+
+def test_a_large_star_of_near_copies(spark):
+    """Each copy has edits of its own, so that copies match the base more than each other; the base comes last."""
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        at = rnd.randrange(110)
+        w[at : at + 2] = [f"e{rnd.randrange(10**9)}" for _ in range(2)]
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    kept = P.simhash_near_dedup(spark, docs(spark, texts), "")
+    assert {r.doc_id for r in kept.collect()} == brute(texts) == {0}

@@ -85,18 +85,122 @@ LICENSES = [
     ("elastic-2.0", "elastic 2 0", f"elastic licen[cs]e {VERSION}2(?: 0)?"),
     ("blueoak-1.0.0", "blueoak 1 0 0", "blue oak model licen[cs]e 1 0 0"),
 ]
-#: Rules that stand alone: label, priority, confidence, keyword, pattern.
+#: Rules that stand alone, in notices, headers, clauses and exceptions: label, priority, confidence, keyword, pattern.
 LONE = [
+    # notices of rights
     ("copyright", 10, 0.4, "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
+    ("copyright", 10, 0.3, "copyright", "copyright (?:c )?by [^ ]+"),
     ("public-domain", 20, 0.8, "public domain", "(?:dedicated to|released (?:in)?to|placed in) the public domain"),
+    ("public-domain", 20, 0.7, "public domain", "this (?:work|file|code|software|document) is in the public domain"),
+    ("public-domain", 20, 0.7, "copyright", "no (?:known )?copyright restrictions"),
+    ("public-domain", 20, 0.8, "copyright", "the authors? (?:hereby )?disclaims? copyright to this source code"),
+    ("proprietary", 20, 0.6, "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", 20, 0.6, "copying", "unauthorized (?:copying|reproduction or copying) of this (?:file|program|software|document)"),
+    ("proprietary", 20, 0.5, "proprietary", "(?:contains|is) proprietary (?:and confidential )?information"),
+    ("proprietary", 20, 0.5, "trade secret", "(?:valuable )?trade secrets? of [^ ]+"),
+    ("trial", 15, 0.5, "licen", "(?:evaluation|trial) licen[cs]e"),
+    ("eula", 20, 0.6, "licen", "end user licen[cs]e agreement"),
+    ("license-agreement", 10, 0.4, "licen", "software licen[cs]e agreement"),
     ("license-notice", 10, 0.3, "licen", "(?:licensed|released|distributed|available) under (?:the |a |an )?(?:terms of the )?[^ ]+ licen[cs]e"),
+    ("license-reference", 10, 0.4, "licen", "see (?:the )?(?:accompanying )?(?:file )?(?:licen[cs]e|copying)(?: txt| md)?(?: file)? for (?:more |further )?(?:details|information|terms)"),
+    ("license-reference", 10, 0.4, "licen", "(?:found|included) in the licen[cs]e file"),
+    ("license-reference", 10, 0.4, "copying", "you should have received a copy of (?:the )?(?:licen[cs]e|copying)"),
+    ("dual-license", 20, 0.6, "licen", "dual(?:ly)? licensed"),
+    ("dual-license", 20, 0.6, "licen", "(?:may|can) be (?:used|distributed) under (?:the terms of )?either"),
+    ("non-commercial", 20, 0.6, "commercial", "for non ?commercial (?:use|purposes)(?: only)?"),
+    ("no-derivatives", 20, 0.5, "derivative", "no derivative works"),
+    ("attribution", 15, 0.5, "attribution", "attribution (?:is )?required"),
+    # families whose version is not given
     ("gpl", 20, 0.7, "general public licen", "gnu (?:lesser |library |affero )?general public licen[cs]e"),
     ("bsd", 20, 0.6, "bsd licen", "bsd licen[cs]e"),
+    ("bsd", 20, 0.5, "licen", "bsd style licen[cs]e"),
     ("apache", 20, 0.6, "apache licen", "apache licen[cs]e"),
-    ("proprietary", 20, 0.6, "proprietary", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("warranty-disclaimer", 10, 0.4, "warrant", "without warrant(?:y|ies) of any kind"),
+    ("mpl", 20, 0.6, "mozilla public licen", "mozilla public licen[cs]e"),
+    ("epl", 20, 0.6, "eclipse public licen", "eclipse public licen[cs]e"),
+    ("artistic", 20, 0.6, "artistic licen", "artistic licen[cs]e"),
+    ("creative-commons", 20, 0.5, "creative commons", "creative commons (?:attribution|licen[cs]e|deed|share ?alike|non ?commercial)"),
+    ("gfdl", 20, 0.6, "free documentation licen", "gnu free documentation licen[cs]e"),
+    ("perl", 25, 0.7, "perl", "under the same (?:terms|licen[cs]e) as perl(?: itself)?"),
+    # header texts
+    ("mit", 45, 0.9, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("isc", 45, 0.85, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", 45, 0.7, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("hpnd", 45, 0.8, "permission", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose"),
+    ("ofl", 45, 0.8, "permission", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("bsl-1.0", 45, 0.85, "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("bsd", 45, 0.8, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("apache-2.0", 45, 0.95, "apache licen", "licensed under the apache licen[cs]e version 2 0 the license you may not use this file except in compliance with the license"),
+    ("gpl", 45, 0.9, "general public licen", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("lgpl", 45, 0.9, "general public licen", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", 45, 0.9, "general public licen", "you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("gpl", 30, 0.8, "general public licen", "you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[cs]e along with"),
+    ("mpl-2.0", 45, 0.95, "mozilla public licen", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-1.1", 45, 0.95, "mozilla public licen", "the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl-2.0", 45, 0.95, "eclipse public licen", "made available under the terms of the eclipse public licen[cs]e (?:v |version )?2 0"),
+    ("epl-1.0", 45, 0.95, "eclipse public licen", "made available under the terms of the eclipse public licen[cs]e (?:v |version )?1 0"),
+    ("cddl-1.0", 45, 0.9, "common development", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("unlicense", 45, 0.9, "public domain", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", 45, 0.9, "copyright", "has waived all copyright and related (?:or neighboring )?rights"),
+    ("zlib", 45, 0.85, "permission", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("wtfpl", 45, 0.9, "copying", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("python-2.0", 40, 0.8, "licen", "psf licen[cs]e agreement for python"),
+    ("json", 45, 0.9, "good", "the software shall be used for good not evil"),
+    ("beerware", 45, 0.9, "licen", "the beer ?ware licen[cs]e"),
+    ("ms-pl", 40, 0.8, "microsoft", "microsoft public licen[cs]e ms pl"),
+    ("oracle-binary", 40, 0.8, "licen", "oracle binary code licen[cs]e agreement"),
+    ("sun-bcl", 40, 0.8, "licen", "sun microsystems inc binary code licen[cs]e agreement"),
+    ("cecill", 30, 0.8, "cecill", "cecill(?: [abc])?(?: free software)? licen[cs]e(?: agreement)?"),
+    ("mulan", 30, 0.8, "licen", "mulan p(?:ermissive software|sl) licen[cs]e"),
+    ("openldap", 30, 0.8, "licen", "openldap public licen[cs]e"),
+    ("qpl", 30, 0.8, "licen", "q public licen[cs]e"),
+    ("sleepycat", 30, 0.8, "licen", "sleepycat licen[cs]e"),
+    ("vim", 30, 0.8, "licen", "vim licen[cs]e"),
+    ("curl", 30, 0.8, "licen", "curl licen[cs]e"),
+    ("libpng", 30, 0.8, "licen", "libpng licen[cs]e"),
+    ("ijg", 30, 0.8, "independent jpeg", "based in part on the work of the independent jpeg group"),
+    ("zope", 30, 0.8, "licen", "zope public licen[cs]e"),
+    ("w3c", 30, 0.8, "licen", "w3c software (?:and document )?(?:notice and )?licen[cs]e"),
+    ("unicode", 30, 0.8, "licen", "unicode (?:inc )?licen[cs]e agreement"),
+    ("ubuntu-font", 30, 0.8, "licen", "ubuntu font licen[cs]e"),
+    ("polyform", 30, 0.8, "licen", "polyform (?:noncommercial|shield|strict|small business|internal use|perimeter) licen[cs]e"),
+    ("commons-clause", 35, 0.8, "commons clause", "commons clause(?: licen[cs]e)? condition"),
+    ("hippocratic", 30, 0.8, "licen", "hippocratic licen[cs]e"),
+    ("parity", 30, 0.8, "licen", "parity public licen[cs]e"),
+    ("llama", 30, 0.8, "licen", "llama (?:2 |3 )?community licen[cs]e"),
+    ("openrail", 30, 0.8, "licen", "(?:creativeml |bigscience )?open ?rail(?: m)? licen[cs]e"),
+    ("etalab", 30, 0.8, "licen", "(?:etalab )?licen[cs]e ouverte"),
+    ("ogl-uk", 30, 0.8, "licen", "open government licen[cs]e"),
+    ("pddl", 30, 0.8, "licen", "public domain dedication and licen[cs]e"),
+    # exceptions
+    ("classpath-exception", 50, 0.9, "permission", "give you permission to link this library with independent modules to produce an executable"),
+    ("classpath-exception", 50, 0.9, "exception", "classpath exception(?: 2 0)?"),
+    ("llvm-exception", 50, 0.9, "exception", "llvm exceptions?"),
+    ("gcc-exception", 50, 0.9, "exception", "gcc runtime library exception"),
+    ("bison-exception", 50, 0.9, "exception", "bison exception(?: 2 2)?"),
+    ("autoconf-exception", 50, 0.9, "exception", "autoconf exception(?: [23] 0)?"),
+    ("font-exception", 50, 0.9, "exception", "(?:font embedding|font) exception(?: 2 0)?"),
+    ("linking-exception", 50, 0.8, "exception", "(?:static|dynamic)? ?linking exception"),
+    ("openssl-exception", 50, 0.8, "openssl", "permission to link (?:the code of )?(?:portions of )?this program with the openssl library"),
+    ("syscall-note", 50, 0.9, "syscall", "linux syscall note"),
+    ("universal-foss-exception", 50, 0.8, "exception", "universal foss exception"),
+    # clauses
     ("redistribution-notice", 15, 0.6, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("redistribution-clause", 15, 0.5, "redistribution", "redistributions of source code must retain the above copyright notice"),
+    ("redistribution-clause", 15, 0.5, "redistribution", "redistributions in binary form must reproduce the above copyright notice"),
     ("permission-notice", 15, 0.6, "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("notice-clause", 15, 0.5, "copyright", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("no-endorsement-clause", 15, 0.5, "endorse", "may be used to endorse or promote products derived from this software"),
+    ("advertising-clause", 15, 0.6, "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("warranty-disclaimer", 10, 0.4, "warrant", "without warrant(?:y|ies) of any kind"),
+    ("warranty-disclaimer", 10, 0.4, "warrant", "without any warranty"),
+    ("warranty-disclaimer", 10, 0.4, "warrant", "without warrant(?:y|ies) or conditions of any kind"),
+    ("warranty-disclaimer", 10, 0.4, "warrant", "implied warrant(?:y|ies) of merchantability"),
+    ("warranty-disclaimer", 10, 0.4, "warrant", "the software is provided as is without warranty"),
+    ("liability-disclaimer", 10, 0.4, "liab", "in no event shall the (?:authors?|copyright holders?|regents|contributors?)(?: [^ ]+){0,6} be liable"),
+    ("patent-grant", 15, 0.5, "patent", "(?:perpetual worldwide non exclusive|worldwide non exclusive)(?: [^ ]+){0,4} patent licen[cs]e"),
+    ("trademark-clause", 10, 0.4, "trademark", "does not grant permission to use the trade names trademarks service marks"),
+    ("contributor-agreement", 15, 0.5, "licen", "contributor licen[cs]e agreement"),
+    ("source-offer", 15, 0.5, "source code", "written offer(?: valid for at least three years)? to (?:give|provide)(?: [^ ]+){0,12} source code"),
 ]
 
 
@@ -113,8 +217,12 @@ def rules() -> list[tuple[str, int, float, str, str]]:
     return out + LONE
 
 
-#: Every rule's keyword and every pattern holds one of these.
-GATE = ["licen", "gpl", "spdx", "creative commons", "copyright", "public domain", "proprietary", "warrant", "redistribution", "permission"]
+#: A text without any of these passes no rule's keyword.
+GATE = [
+    "licen", "gpl", "spdx", "creative commons", "copyright", "public domain", "proprietary", "warrant", "redistribution", "permission", "copying",
+    "trade secret", "commercial", "derivative", "attribution", "perl", "common development", "good", "microsoft", "cecill", "independent jpeg",
+    "commons clause", "exception", "openssl", "syscall", "endorse", "advertising", "liab", "patent", "trademark", "source code",
+]
 SEPARATORS = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -122,15 +230,59 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Priorities of the rules, and a span in the order of the sweep.
+LEVELS = sorted({rule[1] for rule in rules()})
+SPAN = "struct<start: bigint, below: bigint, rank: int, rule: int>"
+
+
+def blocks(xs: str) -> str:
+    """An array cut into runs of about the square root of its size."""
+    size = f"greatest(1, cast(ceil(sqrt(size({xs}))) as int))"
+    return f"transform(sequence(0, (size({xs}) - 1) div {size}), i -> slice({xs}, i * {size} + 1, {size}))"
+
+
+def spans(rule: str, number: str) -> str:
+    """The spans of a rule in words. Each begins after all gaps and hits before it: sums over blocks, then inside each,
+    so that no list longer than a block grows by one again and again."""
+    parts = f"zip_with(split(words, {rule}.pattern), regexp_extract_all(words, {rule}.pattern, 0), (g, h) -> struct(length(g) as gap, length(h) as hit))"
+    step = f"""(s, x) -> if(x.hit is null, s, named_struct('at', s.at + x.gap + x.hit, 'out', array_append(s.out,
+      named_struct('start', s.at + x.gap, 'below', -(s.at + x.gap + x.hit), 'rank', -{rule}.priority, 'rule', {number}))))"""
+    total = "aggregate(ys, 0L, (t, y) -> t + coalesce(y.gap, 0) + coalesce(y.hit, 0))"
+    starts = f"aggregate(cut, named_struct('at', 0L, 'out', cast(array() as array<bigint>)), (s, ys) -> named_struct('at', s.at + {total}, 'out', array_append(s.out, s.at)), s -> s.out)"
+    inside = f"aggregate(ys, named_struct('at', begin, 'out', cast(array() as array<{SPAN}>)), {step}, s -> s.out)"
+    return f"flatten(flatten(transform(array({parts}), xs -> transform(array({blocks('xs')}), cut -> flatten(zip_with(cut, {starts}, (ys, begin) -> {inside}))))))"
+
+
+def undominated(every: str) -> str:
+    """The spans of a list that none of higher priority contains, nor one of the same that is longer, or equal and of an
+    earlier rule.
+
+    Sorted by start, then the longer, the higher priority, the earlier rule, what dominates a span stands before it:
+    a span stays if no end so far of its priority or a higher one reaches its own. One pass, by blocks as in spans().
+    """
+    names = [f"m{level}" for level in LEVELS]
+    ends = lambda ys, level: f"coalesce(array_max(transform(filter({ys}, y -> y.rank <= -{level}), y -> -y.below)), -1L)"
+    fields = lambda of: ", ".join(f"'{n}', {of(n, level)}" for n, level in zip(names, LEVELS, strict=True))
+    empty, kind = fields(lambda n, _: "-1L"), "struct<" + ", ".join(f"{n}: bigint" for n in names) + ">"
+    tops = f"named_struct({fields(lambda n, level: f'greatest(s.{n}, {ends('ys', level)})')}, 'out', array_append(s.out, named_struct({fields(lambda n, _: f's.{n}')})))"
+    before = f"aggregate(cut, named_struct({empty}, 'out', cast(array() as array<{kind}>)), (s, ys) -> {tops}, s -> s.out)"
+    held = "case x.rank " + " ".join(f"when -{level} then s.{n}" for n, level in zip(names, LEVELS, strict=True)) + " end"
+    step = f"(s, x) -> named_struct({fields(lambda n, level: f'if(x.rank <= -{level}, greatest(s.{n}, -x.below), s.{n})')}, 'out', if({held} >= -x.below, s.out, array_append(s.out, x)))"
+    inside = f"aggregate(ys, named_struct({fields(lambda n, _: f'top.{n}')}, 'out', cast(array() as array<{SPAN}>)), {step}, s -> s.out)"
+    return f"flatten(flatten(transform(array(array_sort({every})), xs -> transform(array({blocks('xs')}), cut -> flatten(zip_with(cut, {before}, (ys, top) -> {inside}))))))"
+
+
 def detections(docs: DataFrame) -> DataFrame:
     """docs as the struct row, n_words, and found: spans of label, confidence, priority, start and end (characters of
-    the words with one space between), without those that a span of higher priority, or of the same and longer,
-    contains; base has for each phrase n, first and last (word numbers).
+    the words with one space between), without those that a span of higher priority contains, or one of the same that
+    is longer or, if equal, of an earlier rule; spans that overlap in part both stay. base has for each phrase n,
+    first and last (word numbers).
 
     All is done row by row, without a shuffle: nulls count as empty texts, repeated rows and null ids are kept, other
-    columns stay in row.
+    columns stay in row. A very long text with many hits takes sorted passes, no pairs of hits.
     """
-    table_of_rules = ", ".join(f"struct({quoted(label)} as label, {priority} as priority, {score}D as confidence, {quoted(key)} as key, {quoted(f'(?<= ){p}(?= )')} as pattern)" for label, priority, score, key, p in rules())
+    listed = rules()
+    table_of_rules = ", ".join(f"struct({quoted(label)} as label, {priority} as priority, {score}D as confidence, {quoted(key)} as key, {quoted(f'(?<= ){p}(?= )')} as pattern, {i} as rule)" for i, (label, priority, score, key, p) in enumerate(listed))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     df = df.selectExpr("row", f"concat(' ', trim(regexp_replace(translate(text, '{upper}', '{lower}'), '{SEPARATORS}', ' ')), ' ') as words")
@@ -144,16 +296,13 @@ def detections(docs: DataFrame) -> DataFrame:
         some = f"struct('{label}' as label, cast(({count}) / {len(phrase) + size + 1} as bigint) as n, cast({first} as bigint) as first, cast({last} as bigint) as last)"
         base.append(f"case when contains(words, {key}) then {some} end")
     df = df.selectExpr("*", f"array_compact(array({', '.join(base)})) as base")
-    span = "struct<label: string, confidence: double, priority: int, start: bigint, end: bigint>"
-    spans = f"""aggregate(zip_with(split(words, r.pattern), regexp_extract_all(words, r.pattern, 0), (gap, hit) -> struct(length(gap) as gap, length(hit) as hit)),
-      named_struct('at', 0L, 'out', cast(array() as array<{span}>)),
-      (s, x) -> named_struct('at', s.at + coalesce(x.gap, 0) + coalesce(x.hit, 0), 'out', case when x.hit is null then s.out else
-        array_append(s.out, named_struct('label', r.label, 'confidence', r.confidence, 'priority', r.priority, 'start', s.at + x.gap, 'end', s.at + x.gap + x.hit)) end),
-      s -> s.out)"""
     gate = " or ".join(f"contains(words, '{g}')" for g in GATE)
-    df = df.selectExpr("*", f"case when {gate} then flatten(transform(filter(array({table_of_rules}), r -> contains(words, r.key)), r -> {spans})) else cast(array() as array<{span}>) end as every")
-    inside = "y.start <= x.start and y.end >= x.end and (y.priority > x.priority or y.priority = x.priority and y.end - y.start > x.end - x.start)"
-    return df.selectExpr("row", "n_words", "base", f"filter(every, x -> not exists(every, y -> {inside})) as found")
+    every = f"flatten(transform(filter(array({table_of_rules}), r -> contains(words, r.key)), r -> {spans('r', 'r.rule')}))"
+    df = df.selectExpr("row", "n_words", "base", f"case when {gate} then {every} else cast(array() as array<{SPAN}>) end as every")
+    df = df.selectExpr("row", "n_words", "base", f"case when size(every) > 1 then {undominated('every')} else every end as kept")
+    labels = ", ".join(f"struct({quoted(label)} as label, {score}D as confidence)" for label, _, score, _, _ in listed)
+    span = "named_struct('label', r[x.rule].label, 'confidence', r[x.rule].confidence, 'priority', -x.rank, 'start', x.start, 'end', -x.below)"
+    return df.selectExpr("row", "n_words", "base", f"flatten(transform(array(array({labels})), r -> transform(kept, x -> {span}))) as found")
 
 
 def licenses(docs: DataFrame) -> DataFrame:

@@ -20,11 +20,20 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: An assignment is an operator with a name before it and an expression of literals and names after it.
-OPERATOR = re.compile(r":=|=>|[:=](?![:=])")
+#: An assignment is an operator with a name before it and an expression of literals and names after it. A call with a
+#: literal gives it to the function's name, a literal after a quoted name in a list to that name.
+OPERATOR = re.compile(r""":=|=>|[:=](?![:=])|\((?=[ \t]*["'])|(?<=["']),(?=[ \t]*["'])""")
+#: An element gives its text to its name.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)>([^<>\s]+)</", re.A)
 #: A name, the blanks after it and the end of its line, read backwards from the operator, as far as they go.
 NAME_BACK = re.compile(r"""\n?[ \t]*(["']?)([\w.\-]*[A-Za-z_])\1(?![\w.\-])""", re.A)
-TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][\w.]*)(?![\w+/=\-])|([A-Za-z0-9+/_.=\-]+))""", re.A)
+TERM = re.compile(
+    r"""[ \t]*(?:\"{3}([^"\\\n]*)\"{3}|'{3}([^'\\\n]*)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|[|>][+-]?[ \t]*\n[ \t]+([^\s]+)[ \t]*(?=\n|$)"""
+    r"""|([A-Za-z_][\w.]*)(?![\w+/=\-])|([A-Za-z0-9+/_.=\-]+))""",
+    re.A,
+)
+#: The groups of TERM: all but NAMED hold literals.
+GROUPS, NAMED = range(1, 8), 6
 JOINT = re.compile(r"[ \t]*(?:\+|\.\.|&)(?=[ \t]*[\"'A-Za-z_])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: How sensitive a target is by the parts of its name.
@@ -67,8 +76,8 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool
             continue
         terms, pos = [], op.end()
         while term := TERM.match(text, pos):
-            i = next(k for k in range(1, 5) if term[k] is not None)
-            terms.append((term[i], term.start(i), term.end(i), i == 3))
+            i = next(k for k in GROUPS if term[k] is not None)
+            terms.append((term[i], term.start(i), term.end(i), i == NAMED))
             pos = term.end()
             joint = JOINT.match(text, pos)
             if not joint:
@@ -80,23 +89,35 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool
 
 
 def literals(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, name, score) of the literals that reach a sensitive name, directly or by names that hold them."""
+    """(start, end, name, score) of the literals that reach a sensitive name, directly or by names that hold them.
+
+    All assignments of the text count, in any order: a name that another one is made of passes on what reaches it.
+    Weights go from the most sensitive name back along the expressions, each name once, so this is linear in them.
+    """
+    made: dict[str, list[str]] = {}
     held: dict[str, list[tuple[str, int, int]]] = {}
-    best: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, terms in assignments(text):
-        values: list[tuple[str, int, int]] = []
+    every = [*assignments(text), *((m[1], [(m[2], m.start(2), m.end(2), False)]) for m in ELEMENT.finditer(text))]
+    assigned = {name for name, _ in every}
+    for name, terms in every:
         for value, start, end, is_name in terms:
-            if is_name and value in held:
-                values += held[value]
+            if is_name and value in assigned:
+                made.setdefault(name, []).append(value)
             else:
-                values.append((value, start, end))
-        held[name] = values = list(dict.fromkeys(values))
-        weight = name_weight(name)
-        if weight:
-            for value, start, end in values:
-                score = weight * literal_weight(value)
-                if score >= LEAST_SCORE and score > best.get((start, end), ("", 0.0))[1]:
-                    best[start, end] = name, score
+                held.setdefault(name, []).append((value, start, end))
+    reached: dict[str, tuple[str, float]] = {}
+    for weight, target in sorted(((w, n) for n in assigned if (w := name_weight(n))), key=lambda x: (-x[0], x[1])):
+        todo = [target]
+        while todo:
+            name = todo.pop()
+            if name not in reached:
+                reached[name] = target, weight
+                todo += made.get(name, [])
+    best: dict[tuple[int, int], tuple[str, float]] = {}
+    for name, (target, weight) in reached.items():
+        for value, start, end in held.get(name, []):
+            score = weight * literal_weight(value)
+            if score >= LEAST_SCORE and score > best.get((start, end), ("", 0.0))[1]:
+                best[start, end] = target, score
     return [(a, b, name, score) for (a, b), (name, score) in best.items()]
 
 
@@ -109,7 +130,7 @@ def scan(text: str) -> list[dict]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), None, 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end(), None, 1.0) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if any(c in text for c in "=:(,<"):
         out += [(a, 3, b, name, score) for a, b, name, score in literals(text)]
     return [{"kind": KINDS[k], "start": a, "end": b, "name": name, "score": s} for a, k, b, name, s in sorted(out, key=lambda x: x[:3])]
 
@@ -119,7 +140,7 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     The kinds assign, access and hex are plain patterns; literal is a value that an assignment, or a chain of them,
     gives to a sensitive name, with that name and its score. Offsets are code points, the end exclusive. A null
-    text counts as empty; rows are scanned one by one, so repeated ids and rows and null ids are kept as they are;
+    text counts as empty, a very long one is scanned whole in steps that add up to its length; rows are scanned one by one, so repeated ids and rows and null ids are kept as they are;
     an empty table gives no rows; further columns are not read.
     """
     small_batches(docs.sparkSession)

@@ -1,7 +1,9 @@
 """op6 against the plain patterns, and the spans that assignments add."""
 
 import hashlib
+import random
 import re
+import time
 
 from quillmesh.llm import secrets as S
 from tests.llm.util import docs, sample, texts_of
@@ -64,3 +66,46 @@ def test_aligned_columns_and_long_names():
     assert literals(f'{long} = "k3y-Zx81qPw0Lm"') == ["k3y-Zx81qPw0Lm"] == literals(f"'{long}'   => \"k3y-Zx81qPw0Lm\"")
     assert literals(f"{long}_of_it" + " " * 20 + f'= "k3y-Zx81qPw0Lm"\nb{" " * 30}= {long}_of_it\nx = b') == ["k3y-Zx81qPw0Lm"]
     assert literals("9" + "x" * 200_000 + ".credentials = 'q8Zr-71LmPx2'\n" + " " * 200_000 + "= 'q8Zr-71LmPx2'") == []
+
+
+def test_other_syntaxes():
+    assert literals('password = """k3y-Zx81qPw0"""') == ["k3y-Zx81qPw0"]
+    assert literals("auth_token: |\n    q8Zr-71LmPx2\nnext: 1") == ["q8Zr-71LmPx2"]
+    assert literals("<passphrase>q8Zr-71LmPx2</passphrase><colour>q8Zr71LmPx9</colour>") == ["q8Zr-71LmPx2"]
+    assert literals("client.setPassword('q8Zr-71LmPx2')\nclient.setColour('q8Zr-71LmPx3')") == ["q8Zr-71LmPx2"]
+    assert literals('env.setdefault("API_TOKEN", "f8Jd72Kq9LmX")') == ["f8Jd72Kq9LmX"]
+    assert literals("auth_token = later\nmore = 1\nlater = 'q8Zr-71LmPx2'") == ["q8Zr-71LmPx2"]
+    assert literals("a = b\nb = a\npassword = a\na = 'q8Zr-71LmPx2'") == ["q8Zr-71LmPx2"]
+
+
+def test_planted_pairs_of_every_syntax():
+    """Random files of assignments, chains of names in any order and noise, against what was planted."""
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghijkmnopqrstuvwxyz") for _ in range(n))
+    secret = lambda: "".join(rnd.sample("ABCDEFGHJKLMNPQR", 6) + rnd.sample("abcdefghijkmnopq", 6) + rnd.sample("23456789", 4))
+    forms = ["{n} = '{v}'", '{n} := "{v}"', '"{n}": "{v}",', "{n}: {v}", "export {n}={v}", "{n}      = {v}", "'{n}' => '{v}'", "<{n}>{v}</{n}>", 'put("{n}", "{v}")', '{n}: >-\n  {v}', "{n}('{v}')"]
+    for _ in range(200):
+        lines, want = [], set()
+        for k in range(rnd.randrange(1, 12)):
+            sensitive = rnd.random() < 0.5
+            name = f"{word(5)}{k}_{rnd.choice(['password', 'apiKey', 'client_secret', 'authToken'] if sensitive else ['colour', 'title', 'size'])}"
+            value, chain = secret(), [f"{word(4)}{k}x{i}" for i in range(rnd.choice([0, 0, 1, 2, 5]))]
+            if not chain:
+                own = [rnd.choice(forms).format(n=name, v=value)]
+            else:
+                own = [f"{a} = {b}" for a, b in zip([name, *chain], chain, strict=False)] + [f"{chain[-1]} = '{value}'"]
+                rnd.shuffle(own)
+            lines += own + [f"{word(6)} {word(3)}."] * rnd.randrange(2)
+            want |= {value} if sensitive else set()
+        text = "\n".join(lines)
+        assert set(literals(text)) == want, text
+
+
+def test_long_texts_are_linear():
+    many = "\n".join(["x = 'q8Zr-71LmPx2'"] + ["x = x + 'q8Zr-71LmPx2'"] * 30_000 + ["password = x"])
+    names = "\n".join(["a0 = 'q8Zr-71LmPx2'"] + [f"a{i + 1} = a{i}" for i in range(30_000)] + ["password = a30000"])
+    for text in (many, names, '"""' * 300_000, "('" * 300_000, "<a>" * 300_000, "',\"" * 300_000, "a: |\n" * 200_000):
+        began = time.perf_counter()
+        literals(text)
+        assert time.perf_counter() - began < 20  # a second or two on an idle machine
+    assert len(literals(many)) == 30_001 and literals(names) == ["q8Zr-71LmPx2"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import regex
@@ -43,17 +44,36 @@ class Counter(dict):
 class TokenTree:
     """Leaves of consecutive pre-tokens; every node has the sums of characters and tokens below it."""
 
-    def __init__(self, text: str, counter: Counter) -> None:
+    def __init__(self, text: str, counter: Counter, kept: list[dict] | None = None) -> None:
+        """A new tree of a text, or the one that kept() has described: then nothing is cut or encoded."""
         self.counter = counter
-        self.build(counter.cut(text))
         self.encoded = 0
+        if kept is None:
+            self.build(counter.cut(text))
+            return
+        leaves, at = [], 0
+        for leaf in kept:
+            ends = list(accumulate(leaf["sizes"], initial=at))
+            leaves.append([text[a:b] for a, b in pairwise(ends)])
+            at = ends[-1]
+        self.grow(leaves or [[]], [leaf["tokens"] for leaf in kept])
+
+    def kept(self) -> list[dict]:
+        """The leaves as rows: the lengths of their pre-tokens and their tokens; empty ones go."""
+        return [{"sizes": list(map(len, words)), "tokens": self.tokens[self.size + i]} for i, words in enumerate(self.leaves) if words]
 
     def build(self, words: list[str]) -> None:
-        self.leaves = [words[i : i + LEAF] for i in range(0, len(words), LEAF)] or [[]]
+        self.grow([words[i : i + LEAF] for i in range(0, len(words), LEAF)] or [[]])
+
+    def grow(self, leaves: list[list[str]], tokens: list[int] | None = None) -> None:
+        self.leaves = leaves
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i in range(len(self.leaves)):
-            self.weigh(i)
+            if tokens:
+                self.chars[self.size + i], self.tokens[self.size + i] = sum(map(len, self.leaves[i])), tokens[i]
+            else:
+                self.weigh(i)
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -139,36 +159,55 @@ class TokenTree:
         return "".join(w for leaf in self.leaves for w in leaf)
 
 
-def edited_counts(docs: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_edits, n_tokens_after, n_pretokens_after, n_reencoded, text_after) for each row of docs.
+LEAVES = pa.list_(pa.struct([("sizes", pa.list_(pa.int32())), ("tokens", pa.int64())]))
+LEAVES_SQL = "array<struct<sizes: array<int>, tokens: long>>"
+EDITS = "array<struct<at: long, cut: long, put: string>>"
+
+
+def trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, text, leaves): the trees of docs, to be written as a table that apply_edits() keeps up to date. Nulls,
+    repeats, empty tables and further columns as in apply_edits()."""
+    none = F.lit(None)
+    return apply_edits(docs.select("doc_id", "text", none.cast(LEAVES_SQL).alias("leaves")), none, tokenizer).select("doc_id", F.col("text_after").alias("text"), "leaves")
 
-    edits: array<struct<at, cut, put>> of docs' columns, applied in order; each replaces cut characters at a place
-    of the text as the edits before have left it. n_reencoded: the pre-tokens encoded for the edits. A null text
-    counts as empty, null edits as none, a null in an edit as 0 or empty; rows are counted one by one, whatever their
-    ids; an empty table gives no rows; further columns are not read.
+
+def apply_edits(trees: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_edits, n_tokens_after, n_pretokens_after, n_reencoded, text_after, leaves) for each row of
+    trees(doc_id, text, leaves): only what the edits touch is encoded; without leaves (null) the whole text is.
+
+    edits: array<struct<at, cut, put>> of the columns, applied in order; each replaces cut characters at a place of
+    the text as the edits before have left it. n_reencoded: the pre-tokens encoded for the edits. leaves describe the
+    tree after them, for the next batch of edits. A null text counts as empty, null edits as none, a null in an edit
+    as 0 or empty; rows are counted one by one, whatever their ids; a very long text is one tree in one task; an
+    empty table gives no rows; further columns are not read.
     """
-    small_batches(docs.sparkSession)
+    small_batches(trees.sparkSession)
     path = tokenizer or vocabulary("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for text, todo in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tree = TokenTree(text or "", counter)
+            out: list[list] = [[] for _ in names[1:]]
+            for text, kept, todo in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                tree = TokenTree(text or "", counter, kept)
                 before = tree.tokens[1]
                 for e in todo or []:
                     tree.edit(e["at"] or 0, e["cut"] or 0, e["put"] or "")
-                row = before, len(todo or []), tree.tokens[1], sum(map(len, tree.leaves)), tree.encoded, tree.text()
+                row = before, len(todo or []), tree.tokens[1], sum(map(len, tree.leaves)), tree.encoded, tree.text(), tree.kept()
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            arrays = [pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(out[5], pa.string())]
+            arrays = [pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(out[5], pa.string()), pa.array(out[6], LEAVES)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names)
 
-    names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens_after", "n_reencoded", "text_after"]
-    kind = ", ".join(f"{n} long" for n in names[:-1]) + ", text_after string"
-    edit = "array<struct<at: long, cut: long, put: string>>"
-    return docs.select("doc_id", "text", edits.cast(edit).alias("edits")).mapInArrow(run, kind)
+    names = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_pretokens_after", "n_reencoded", "text_after", "leaves"]
+    kind = ", ".join(f"{n} long" for n in names[:-2]) + f", text_after string, leaves {LEAVES_SQL}"
+    return trees.select("doc_id", "text", "leaves", edits.cast(EDITS).alias("edits")).mapInArrow(run, kind)
+
+
+def edited_counts(docs: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
+    """apply_edits() on documents whose trees are not kept: each is built, edited and counted in one pass."""
+    fresh = docs.select("*", edits.cast(EDITS).alias("_edits")).select("doc_id", "text", F.lit(None).cast(LEAVES_SQL).alias("leaves"), "_edits")
+    return apply_edits(fresh, F.col("_edits"), tokenizer)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

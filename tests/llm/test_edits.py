@@ -29,6 +29,32 @@ def test_any_edits(text, todo, repeat):
         assert tree.text() == text and tree.tokens[1] == whole(text) and tree.chars[1] == len(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(CHARS, st.lists(EDITS, max_size=4), st.integers(1, 40))
+def test_trees_that_are_kept(text, batches, repeat):
+    text = text * repeat
+    tree = E.TokenTree(text, COUNT)
+    for todo in batches:
+        tree = E.TokenTree(tree.text(), COUNT, tree.kept())
+        assert tree.encoded == 0 and tree.tokens[1] == whole(text)
+        for at, cut, put in todo:
+            tree.edit(at, cut, put)
+            at = min(at, len(text))
+            text = text[:at] + put + text[at + cut :]
+    assert tree.text() == text and tree.tokens[1] == whole(text)
+
+
+def test_batches_of_edits_on_a_table_of_trees(spark):
+    text = " ".join(f"word{i}" for i in range(20_000))
+    table = E.trees(docs(spark, [text, None, "ab cd"], [1, 2, None]))
+    for k in range(3):
+        edit = F.expr(f"array(struct(length(coalesce(text, '')) div 2 as at, 3L as cut, 'new{k} ' as put))")
+        out = E.apply_edits(table, edit).collect()
+        table = spark.createDataFrame([(r.doc_id, r.text_after, r.leaves) for r in out], f"doc_id long, text string, leaves {E.LEAVES_SQL}")
+        assert all(r.n_tokens_after == whole(r.text_after) and r.n_reencoded < 200 for r in out)
+    assert E.trees(docs(spark, [])).collect() == []
+
+
 def test_an_edit_re_encodes_little():
     text = " ".join(f"word{i}" for i in range(50_000))
     tree = E.TokenTree(text, COUNT)

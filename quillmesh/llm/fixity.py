@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import checkpoint, table, written
+from .conversations import carried
 
 #: Children of a tree node, and how many consecutive record ids a WARC file (a volume) holds.
 FAN, VOLUME = 16, 1024
@@ -21,18 +21,18 @@ def record(url: Column, payload: Column) -> Column:
 
 
 def leaves(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
-    """The records of every volume in their order: volume, key, idx, offset, length, digest.
+    """The records of every volume in their order, as a written table: volume, key, idx, offset, length, digest.
 
     A volume holds the records of VOLUME consecutive keys, by key, then digest (ties of both are the same bytes);
-    null keys make a volume of their own, cut by their digests so that it has parts of a bounded share.
+    null keys make volumes of their own, by their digests. A key may have any number of records: place and offset are
+    sums that run along ranges of the volume.
     """
     k, text = F.col(key), record(F.col(url), F.col(payload))
     rows = pages.select(k.cast("long").alias("key"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
-    volume = F.coalesce(F.floor(F.col("key") / VOLUME), -1 - F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(4096)))
-    order = Window.partitionBy("volume").orderBy("key", "digest")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    rows = rows.withColumn("volume", volume)
-    return rows.select("volume", "key", (F.row_number().over(order) - 1).cast("long").alias("idx"), before.alias("offset"), "length", "digest")
+    volume = F.coalesce(F.shiftright("key", VOLUME.bit_length() - 1), -(1 << 60) - F.pmod(F.xxhash64("digest"), F.lit(4096)))
+    rows = rows.withColumn("volume", volume).withColumn("one", F.lit(1).cast("long"))
+    rows = carried(rows, ["volume"], ["key", "digest"], upto=("sum", "length"), place=("sum", "one"))
+    return rows.select("volume", "key", (F.col("place") - 1).alias("idx"), (F.col("upto") - F.col("length")).alias("offset"), "length", "digest")
 
 
 def tree(rows: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def tree(rows: DataFrame) -> DataFrame:
     while most > 0 or len(levels) == 1:
         text = F.concat_ws(":", "first_byte", "upto_byte", "digest")
         kids = F.array_sort(F.collect_list(F.struct("idx", text.alias("text"))))
-        level = level.groupBy("volume", F.floor(F.col("idx") / FAN).alias("parent")).agg(
+        level = level.groupBy("volume", F.shiftright("idx", FAN.bit_length() - 1).alias("parent")).agg(
             F.min("first_byte").alias("first_byte"), F.max("upto_byte").alias("upto_byte"), F.sha2(F.concat_ws("|", kids["text"]), 256).alias("digest")
         )
         level = checkpoint(level.select("volume", F.lit(len(levels)).alias("level"), F.col("parent").alias("idx"), "first_byte", "upto_byte", "digest"))
@@ -65,22 +65,34 @@ def damaged(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         a, b = (t.where(F.col("level") == level).select("volume", "idx", F.struct("first_byte", "upto_byte", "digest").alias(c)) for t, c in ((ours, "a"), (theirs, "b")))
         if open_nodes is not None:
             up = open_nodes.withColumnRenamed("idx", "up")
-            a, b = (x.withColumn("up", F.floor(F.col("idx") / FAN)).join(up, ["volume", "up"], "left_semi").drop("up") for x in (a, b))
+            a, b = (x.withColumn("up", F.shiftright("idx", FAN.bit_length() - 1)).join(up, ["volume", "up"], "left_semi").drop("up") for x in (a, b))
         open_nodes = checkpoint(a.join(b, ["volume", "idx"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("volume", "idx"))
     return open_nodes
 
 
 def audit(ours: DataFrame, theirs: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """For each record of ours: volume, key, idx, offset, length, digest, intact.
-
-    intact is false where the replica has other bytes or another offset at the record's place, or none. Nulls in
-    url or payload are empty ones, records with a null key are audited too, repeated rows are records of their own;
-    two empty tables give no rows. Further columns are not read.
+    """For each record of ours, and each that stands in the replica where ours has none: volume, key, idx, offset,
+    length, digest, side (ours, replica), intact, moved.
+
+    intact is false where the replica has other bytes or another offset at the record's place, or none; for these,
+    moved tells whether the replica holds the record's bytes under the same key elsewhere in the volume, as after an
+    insertion or a loss further ahead. Nulls in url or payload are empty ones, records with a null key are audited
+    too, repeated rows are records of their own; two empty tables give no rows. A record may be very long: it is
+    hashed where it is read. Further columns are not read.
     """
-    mine, other = written(leaves(ours, key, url, payload)), written(leaves(theirs, key, url, payload))
+    mine, other = leaves(ours, key, url, payload), leaves(theirs, key, url, payload)
     bad = damaged(tree(mine), tree(other)).withColumn("bad", F.lit(True))
-    out = mine.join(bad, ["volume", "idx"], "left")
-    return out.select("volume", "key", "idx", "offset", "length", "digest", F.col("bad").isNull().alias("intact"))
+    out = mine.join(bad, ["volume", "idx"], "left").withColumn("side", F.lit("ours"))
+    extra = other.join(bad, ["volume", "idx"]).join(mine.select("volume", "idx"), ["volume", "idx"], "left_anti").withColumn("side", F.lit("replica"))
+    out = out.unionByName(extra.select(*out.columns))
+    # the bytes of what differs, looked for on the other side: equal records are counted, not paired
+    what = ["volume", "key", "digest"]
+    same = lambda a, b: F.col(f"{a}.volume").eqNullSafe(F.col(f"{b}.volume")) & F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+    lost = checkpoint(out.where("bad").select("side", *what).distinct())
+    held = mine.select(F.lit("replica").alias("side"), *what).unionByName(other.select(F.lit("ours").alias("side"), *what))
+    there = held.alias("a").join(lost.alias("b"), same("a", "b") & (F.col("a.side") == F.col("b.side")), "left_semi").distinct().withColumn("moved", F.lit(True))
+    out = out.alias("a").join(checkpoint(there).alias("b"), same("a", "b") & (F.col("a.side") == F.col("b.side")) & F.col("a.bad"), "left")
+    return out.select("a.volume", "a.key", "idx", "offset", "length", "a.digest", "a.side", F.col("bad").isNull().alias("intact"), F.coalesce("moved", F.lit(False)).alias("moved"))
 
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,27 @@ def test_missing_records_differ(spark):
     assert [r.key for r in got if not r.intact] == [39]
 
 
+def test_records_of_the_replica_alone(spark):
+    rows = [(i, "u", f"x{i}") for i in range(30)]
+    got = F.audit(pages(spark, rows[:10] + rows[11:]), pages(spark, rows)).collect()
+    ours, replica = ([r for r in got if r.side == side] for side in ("ours", "replica"))
+    assert {r.key for r in ours if not r.intact} == set(range(11, 30)) == {r.key for r in ours if r.moved}
+    assert [(r.key, r.intact, r.moved) for r in replica] == [(29, False, True)]
+    # at its end: the record itself
+    got = F.audit(pages(spark, rows[:29]), pages(spark, rows)).collect()
+    assert [(r.side, r.key, r.moved) for r in got if not r.intact] == [("replica", 29, False)]
+
+
+def test_a_key_of_very_many_records(spark):
+    rows = [(7, "u", f"x{i % 900}") for i in range(4000)] + [(2**60 + 1, "u", "far"), (2**60 - 1, "u", "near")]
+    got = F.audit(pages(spark, rows), pages(spark, rows[::-1])).collect()
+    assert all(r.intact for r in got) and len(got) == 4002
+    hot = sorted((r.idx, r.offset, r.length, r.digest) for r in got if r.key == 7)
+    assert [x[0] for x in hot] == list(range(4000)) and [x[3] for x in hot] == sorted(x[3] for x in hot)
+    assert [x[1] for x in hot] == [sum(y[2] for y in hot[:i]) for i in range(4000)]
+    assert {r.volume for r in got} == {0, 2**50, 2**50 - 1}
+
+
 def test_edge_cases(spark):
     rows = [(None, "u", "x"), (None, None, None), (1, None, "é" * 50_000), (1, None, "é" * 50_000), (-5, "", ""), (2000, "u", None)]
     got = F.audit(pages(spark, rows), pages(spark, rows)).collect()

@@ -55,12 +55,24 @@ def line_texts(docs: DataFrame, near: DataFrame, rank: Broadcast) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the pairs (id1, id2), the id1 whose words really match."""
-    a, b = (texts.select(F.col("id").alias(f"id{n}"), F.col("words").alias(f"words{n}")) for n in "12")
-    both = pairs.join(a, "id1").join(b, "id2")
-    w1, w2 = "split(words1, ' ')", "split(words2, ' ')"
+    texts = texts.select("id", "words")  # under one name on both sides: dealt out once
+    both = pairs.join(texts.alias("a"), F.expr("id1 = a.id")).join(texts.alias("b"), F.expr("id2 = b.id"))
+    w1, w2 = "split(a.words, ' ')", "split(b.words, ' ')"
     return both.where(f"9 * size(array_intersect({w1}, {w2})) >= 4 * (size({w1}) + size({w2}))").select(F.col("id1").alias("id")).distinct()
 
 
+def matched(later: DataFrame, signed: DataFrame, texts: DataFrame, share: int, found: DataFrame | None) -> DataFrame:
+    """The id of found and of those that a round of the join adds. Nothing that it has dealt out is held any longer."""
+
+    def candidates() -> DataFrame:
+        left = later if found is None else later.join(found, "id", "left_anti")
+        some = sets.pairs(left, signed, EARLIER, share, ["a.id as id1", "b.id as id2"])
+        return some.groupBy("id1").agg(F.min_by("id2", "differ").alias("id2")) if share > 1 else some.select("id1", "id2").distinct()
+
+    more = verified(checkpoint(candidates()), texts)
+    return more if found is None else found.unionByName(more)
+
+
 #: Which of two lines stands earlier; lines at one place are those of texts that share a doc_id.
 EARLIER = "struct(b.doc_id, b.line, b.text_hash) < struct(a.doc_id, a.line, a.text_hash)"
 
@@ -97,11 +109,7 @@ def later_matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(rows, placed)
     found, later = None, signed.where("later")  # the first row of a list has no earlier partner in it
     for share in sets.shares(lists.agg(F.max("n")).first()[0] or 0):
-        left = later if found is None else later.join(found, "id", "left_anti")
-        some = sets.pairs(left, signed, EARLIER, share, ["a.id as id1", "b.id as id2"])
-        some = some.groupBy("id1").agg(F.min_by("id2", "differ").alias("id2")) if share > 1 else some.select("id1", "id2").distinct()
-        more = verified(checkpoint(some), texts)
-        found = checkpoint(more if found is None else found.unionByName(more))
+        found = checkpoint(matched(later, signed, texts, share, found))
     out = classes.join(found.withColumn("matches", F.lit(True)), "id", "left")
     out = out.selectExpr("sig", "sig2", "doc_id as first_doc", "line as first_line", "text_hash as first_hash", "n", "coalesce(matches, false) as matches")
     out = written(out)

@@ -113,7 +113,8 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
         part["offset"] = [at for _, at in placed]
         return part.drop(columns="bin")
 
-    rest = rest.withColumn("bin", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
+    # ids begin at a multiple of 2^33 in each partition: its number moves where its rows begin
+    rest = rest.withColumn("bin", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(groups)))
     rest = rest.groupBy("bin").applyInPandas(run, full.schema)
     return full.unionByName(rest)
 
